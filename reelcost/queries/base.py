@@ -85,8 +85,11 @@ def with_labels(sql: str) -> str:
     return f"WITH {LABELLED} {sql}"
 
 
-def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in df.columns])
+def rounded(df: DataFrame, *cols: str, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Round for comparison; ``nudge`` moves exact decimal halves off the rounding edge."""
+    return df.select(
+        *[(F.round(F.col(c) + F.lit(nudge), digits) + F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in df.columns]
+    )
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,6 +22,7 @@ def local_session(cpus: int | None = None, app: str = "reelcost") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

@@ -356,3 +356,18 @@ def create_features(
         if not missing:
             out = out.withColumn(name, feature.expr())
     return out if keep is None else out.select(*[c for c in keep if c in out.columns])
+
+
+def bounds_for(cols: Sequence[str], bound: float | Sequence[float] | Mapping[str, float] | None) -> dict[str, float | None]:
+    """One bound per column from a number, a list in column order, or a mapping."""
+    if bound is None or isinstance(bound, (int, float)):
+        return dict.fromkeys(cols, bound)
+    if isinstance(bound, Mapping):
+        return {c: bound.get(c) for c in cols}
+    return dict(zip(cols, bound, strict=False))
+
+
+def null_beyond(df: DataFrame, cols: Sequence[str], low=None, high=None) -> DataFrame:
+    """Null values below ``low`` or above ``high``, each given as number, list or mapping."""
+    lo, hi = bounds_for(cols, low), bounds_for(cols, high)
+    return null_outside(df, {c: (lo.get(c), hi.get(c)) for c in cols})

@@ -53,6 +53,9 @@ def _bracketed(df, by, specs, accuracy):
     below = tagged.groupBy(*by).agg(
         *[F.count(F.when(val[i] < lo[i], 1)).alias(f"__c{i}") for i in range(len(probs))],
         *[F.first(f"__n{i}").alias(f"__n{i}") for i in range(len(probs))],
+        # Nearest values beyond the bracket, for ranks that touch its edge in tiny groups.
+        *[F.max(F.when(val[i] < lo[i], val[i])).alias(f"__x{i}") for i in range(len(probs))],
+        *[F.min(F.when(val[i] > hi[i], val[i])).alias(f"__y{i}") for i in range(len(probs))],
     )
     inside = tagged.select(
         *by,
@@ -77,20 +80,25 @@ def _bracketed(df, by, specs, accuracy):
     base = below.select(
         *by,
         F.posexplode(
-            F.array(*[F.struct(F.col(f"__c{i}").alias("c"), F.col(f"__n{i}").alias("n")) for i in range(len(probs))])
+            F.array(*[F.struct(*[F.col(f"__{k}{i}").alias(k) for k in "cnxy"]) for i in range(len(probs))])
         ).alias("__i", "__m"),
-    ).select(*by, "__i", F.col("__m.c").alias("__c"), F.col("__m.n").alias("__n"))
+    ).select(*by, "__i", *[F.col(f"__m.{k}").alias(f"__{k}") for k in "cnxy"])
     placed = join_stats(counted, base, [*by, "__i"], how="inner", null_safe=True)
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1)
     # At most a 4/accuracy share of the group's rows reaches this window.
     w = Window.partitionBy(*by, "__i").orderBy("__v")
     upto = F.col("__c") + F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, 0))
     rank = (F.col("__n") - 1) * prob
-    placed = placed.select(*by, "__i", "__v", upto.alias("__u"), rank.alias("__r"))
+    placed = placed.select(*by, "__i", "__v", "__c", "__x", "__y", upto.alias("__u"), rank.alias("__r"))
+
+    def at(k):
+        found = F.min(F.when(F.col("__u") > k("__r"), F.col("__v")))
+        return F.when(k(F.first("__r")) < F.first("__c"), F.first("__x")).otherwise(F.coalesce(found, F.first("__y")))
+
     picked = placed.groupBy(*by, "__i").agg(
         F.first("__r").alias("__r"),
-        F.min(F.when(F.col("__u") > F.floor("__r"), F.col("__v"))).alias("__a"),
-        F.min(F.when(F.col("__u") > F.ceil("__r"), F.col("__v"))).alias("__z"),
+        at(F.floor).alias("__a"),
+        at(F.ceil).alias("__z"),
     )
     part = F.col("__r") - F.floor("__r")
     picked = picked.withColumn("__q", F.col("__a") + part * (F.col("__z") - F.col("__a")))

@@ -142,7 +142,7 @@ def rolling_stats(
         ts,
         F.col("__cnt").alias("n"),
         (F.col("__c") + F.col("__s") / F.col("__cnt")).alias("mean"),
-        F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"),
+        F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"),
         "median",
         "p_low",
         "p_high",

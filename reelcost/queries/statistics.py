@@ -178,7 +178,7 @@ def _(spark, sf):
 
 @query("mixture_selection_criteria")
 def _(spark, sf):
-    vectors = CL._vectors(small_slice(spark, sf), ["qty", "tax_cost"]).cache()
+    vectors = CL._for_training(small_slice(spark, sf), ["qty", "tax_cost"])
     one = CL.single_gaussian_bic(vectors, ["qty", "tax_cost"])
     rows = [(1, one, one, 1.0)]
     for k in (2, 3):
@@ -191,7 +191,7 @@ def _(spark, sf):
 @query("operating_state_clusters")
 def _(spark, sf):
     out = CL.cluster_by_period(
-        labelled(spark, sf), FEATS, "total_cost", ["Brand#3"], n_components=2, k_max=3, n_boot=3, min_cluster_size=10
+        labelled(spark, sf), FEATS, "total_cost", ["Brand#3"], n_components=2, k_max=3, n_boot=2, min_cluster_size=10
     )
     return out.groupBy("grade", "period", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("total_cost").alias("total_cost"))
 

@@ -55,25 +55,25 @@ class TurnupEmitter(StatefulProcessor):
         self.before = handle.getValueState("before", "ts timestamp, value double")
         self.open = handle.getValueState("open", "reel_id long, seen long")
 
-    def _turnup(self, machine: str) -> list:
-        reel, seen = self.open.get()
-        ts, value = (self.before if seen > 1 else self.last).get()
-        return [(machine, reel, ts, value, seen)]
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        machine = key[0]
+        reel, seen = self.open.get() if self.open.exists() else (None, 0)
+        last = self.last.get() if self.last.exists() else None
+        before = self.before.get() if self.before.exists() else None
         out: list = []
         pdf = pd.concat(list(rows)).sort_values(["ts", "reel_id"])
-        for r in pdf.itertuples(index=False):
-            now = (r.ts.to_pydatetime(), float(r.value))
-            if self.open.exists() and self.open.get()[0] != r.reel_id:
-                out += self._turnup(key[0])
-                self.open.clear()
-            if self.open.exists():
-                self.before.update(self.last.get())
-                self.open.update((int(r.reel_id), self.open.get()[1] + 1))
-            else:
-                self.open.update((int(r.reel_id), 1))
-            self.last.update(now)
+        for ts, reel_id, value in zip(pdf["ts"], pdf["reel_id"], pdf["value"]):
+            if seen and reel != reel_id:
+                out.append((machine, reel, *(before if seen > 1 else last), seen))
+                seen = 0
+            before = last if seen else None
+            last, reel, seen = (ts.to_pydatetime(), float(value)), int(reel_id), seen + 1
+        self.open.update((reel, seen))
+        self.last.update(last)
+        if before is None:
+            self.before.clear()
+        else:
+            self.before.update(before)
         if self.idle_ms is not None:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
@@ -81,7 +81,10 @@ class TurnupEmitter(StatefulProcessor):
         yield pd.DataFrame(out, columns=["machine", "reel_id", "ts", "value", "n_rows"])
 
     def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        out = self._turnup(key[0]) if self.open.exists() else []
+        out = []
+        if self.open.exists():
+            reel, seen = self.open.get()
+            out.append((key[0], reel, *(self.before if seen > 1 else self.last).get(), seen))
         for s in (self.open, self.last, self.before):
             s.clear()
         yield pd.DataFrame(out, columns=["machine", "reel_id", "ts", "value", "n_rows"])

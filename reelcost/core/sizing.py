@@ -9,11 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import ensure_checkpoint_dir
+
 # A side with at most this many rows may be collected and broadcast.
 BROADCAST_ROWS = 20_000
 # Input bytes that one window task should hold at most.
 BLOCK_BYTES = 64 * 1024 * 1024
 MAX_BLOCKS = 20_000
+# Spark reports a size beyond any real one for relations without statistics.
+UNKNOWN_BYTES = 2**60
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -26,7 +30,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def block_count(df: DataFrame) -> int:
-    return max(1, min(MAX_BLOCKS, math.ceil(input_bytes(df) / BLOCK_BYTES)))
+    size = input_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(MAX_BLOCKS, math.ceil(size / BLOCK_BYTES)))
 
 
 def is_small(df: DataFrame) -> bool:
@@ -38,10 +45,19 @@ def pin_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFra
 
     Beyond the limit the lazy table is returned with ``False`` and nothing was kept.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
         return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
+    return df.sparkSession.createDataFrame(table, df.schema), True
+
+
+def materialise(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table that later steps read many times: a local relation when small, else a checkpoint."""
+    small, fits = pin_if_small(df, max_rows)
+    if fits:
+        return small
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool) -> Column:

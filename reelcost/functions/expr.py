@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,31 +77,43 @@ def normal_cdf(c: str | Column) -> Column:
     return F.when(x >= 0, 1.0 - tail).otherwise(tail)
 
 
-def normal_quantile(p: str | Column) -> Column:
-    """Inverse standard normal distribution function.
+# Coefficients of P. J. Acklam's rational approximation of the inverse normal
+# distribution function (relative error below 1.15e-9).
+ACKLAM_A = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239]
+ACKLAM_B = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0]
+ACKLAM_C = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
+ACKLAM_D = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0]
+ACKLAM_LOW = 0.02425
 
-    Fixed values: coefficients of P. J. Acklam's rational approximation (relative error
-    below 1.15e-9).
-    """
+
+def normal_quantile(p: str | Column) -> Column:
+    """Inverse standard normal distribution function as an expression; NULL outside (0, 1)."""
     p = col(p)
-    a = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239]
-    b = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0]
-    c = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
-    d = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0]
     horner = lambda ks, x: reduce(lambda acc, k: acc * x + k, ks[1:], F.lit(ks[0]))
-    low, high = 0.02425, 1 - 0.02425
+    low, high = ACKLAM_LOW, 1 - ACKLAM_LOW
     r = (p - 0.5) * (p - 0.5)
-    mid = horner(a, r) * (p - 0.5) / horner(b, r)
+    mid = horner(ACKLAM_A, r) * (p - 0.5) / horner(ACKLAM_B, r)
     ql = F.sqrt(-2.0 * F.log(F.when((p > 0) & (p < low), p)))
     qh = F.sqrt(-2.0 * F.log(1.0 - F.when((p < 1) & (p > high), p)))
     return (
         F.when((p <= 0) | (p >= 1), F.lit(None))
-        .when(p < low, horner(c, ql) / horner(d, ql))
+        .when(p < low, horner(ACKLAM_C, ql) / horner(ACKLAM_D, ql))
         .when(p <= high, mid)
-        .otherwise(-horner(c, qh) / horner(d, qh))
+        .otherwise(-horner(ACKLAM_C, qh) / horner(ACKLAM_D, qh))
     )
 
 
+def standard_normal_quantile(p: np.ndarray) -> np.ndarray:
+    """The same function on arrays, for use inside tasks."""
+    p = np.asarray(p, dtype=float)
+    r = (p - 0.5) ** 2
+    mid = np.polyval(ACKLAM_A, r) * (p - 0.5) / np.polyval(ACKLAM_B, r)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        t = np.sqrt(-2.0 * np.log(np.minimum(p, 1 - p)))
+        tail = np.polyval(ACKLAM_C, t) / np.polyval(ACKLAM_D, t)
+    return np.where(p < ACKLAM_LOW, tail, np.where(p > 1 - ACKLAM_LOW, -tail, mid))
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     """Inner product of two numeric arrays in double precision."""
     return F.aggregate(

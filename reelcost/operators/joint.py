@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from ..core.ordered import neighbours, running_sums
 from ..core.quantiles import group_medians, group_quantiles
-from ..core.sizing import join_stats, pin_if_small
+from ..core.sizing import join_stats, materialise, pin_if_small
 from ..functions import student
-from ..functions.expr import normal_cdf, normal_quantile
+from ..functions.expr import normal_cdf, normal_quantile, standard_normal_quantile
 from .linear import centered
 
 EPS = 1e-6
@@ -56,11 +56,15 @@ def complete_rows(df: DataFrame, cols: Sequence[str], keep: Sequence[str], fill:
     return got.select(*keep, *[F.coalesce(c, f"__m_{c}").alias(c) for c in cols if c not in keep]).dropna(subset=list(cols))
 
 
-def marginal_knots(df: DataFrame, cols: Sequence[str], grade: str = "grade", blocks: int | None = None) -> DataFrame:
-    """Mid-rank distribution function at every distinct value per grade and variable."""
+def value_counts(df: DataFrame, cols: Sequence[str], grade: str = "grade") -> DataFrame:
+    """Rows per grade, variable and distinct value."""
     long = df.unpivot([grade], list(cols), "variable", "x").filter(F.col("x").isNotNull())
-    counts = long.groupBy(grade, "variable", "x").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(grade, "variable").agg(F.sum("n").alias("__t")).filter(F.col("__t") >= 5)
+    return long.groupBy(grade, "variable", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def marginal_knots(counts: DataFrame, grade: str = "grade", min_rows: int = 5, blocks: int | None = None) -> DataFrame:
+    """Mid-rank distribution function at every distinct value per grade and variable."""
+    totals = counts.groupBy(grade, "variable").agg(F.sum("n").alias("__t")).filter(F.col("__t") >= max(5, min_rows))
     ran = running_sums(counts, [grade, "variable"], ["x"], {"__cum": F.col("n")}, blocks)
     got = join_stats(ran, totals, [grade, "variable"], how="inner")
     return got.select(grade, "variable", "x", "n", ((F.col("__cum") - F.col("n") / 2) / F.col("__t")).alias("u"))
@@ -120,8 +124,8 @@ def interpolate_knots(
     if curves is not None:
         for out, (variable, col) in at.items():
             lookup = _lookup(curves, variable)
+            # NaN leaves a Pandas UDF as NULL.
             df = df.withColumn(out, lookup(F.col(grade), F.col(col).cast("double")))
-            df = df.withColumn(out, F.when(~F.isnan(out), F.col(out)))
         return df
     for out, (variable, col) in at.items():
         keep = df.columns
@@ -141,10 +145,20 @@ def _clip(u: Column) -> Column:
     return F.when(u.isNotNull(), F.least(F.greatest(u, F.lit(EPS)), F.lit(1 - EPS)))
 
 
+def _score():
+    """Clipped normal quantile as a Pandas UDF; it runs in the same Python step as the lookup."""
+
+    @F.pandas_udf("double")
+    def score(u: pd.Series) -> pd.Series:
+        return pd.Series(standard_normal_quantile(np.clip(u.to_numpy(dtype=float), EPS, 1 - EPS)))
+
+    return score
+
+
 def normal_scores(df: DataFrame, model_knots: DataFrame, cols: Sequence[str], grade: str = "grade", prefix: str = "z_") -> DataFrame:
     """Normal scores ``z_x`` of the columns under their grade's marginals."""
     got = interpolate_knots(df, model_knots, {f"{prefix}{c}": (c, c) for c in cols}, grade)
-    return got.withColumns({f"{prefix}{c}": normal_quantile(_clip(F.col(f"{prefix}{c}"))) for c in cols})
+    return got.withColumns({f"{prefix}{c}": _score()(F.col(f"{prefix}{c}")) for c in cols})
 
 
 def shrunk_correlation(n: int, sums: np.ndarray, products: np.ndarray, fourth: float, third: np.ndarray) -> np.ndarray:
@@ -203,13 +217,12 @@ def fit_joint(df: DataFrame, cols: Sequence[str], grade: str = "grade", min_rows
     """Gaussian copula per grade with empirical marginals; grades with too few complete rows get no model."""
     cols = list(cols)
     data = complete_rows(df, cols, [grade], fill, grade)
-    sizes = data.groupBy(grade).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_rows).select(grade)
-    data = join_stats(data, sizes, [grade], how="left_semi")
-    knots, _ = pin_if_small(marginal_knots(data, cols, grade))
+    # The value counts are the only pass over the rows for all marginals.
+    knots = materialise(marginal_knots(materialise(value_counts(data, cols, grade)), grade, min_rows))
+    data = join_stats(data, knots.select(grade).distinct(), [grade], how="left_semi")
     scores = normal_scores(data, knots, cols, grade)
-    corr, _ = pin_if_small(fit_correlation(scores, [f"z_{c}" for c in cols], grade))
-    bands, _ = pin_if_small(marginal_bands(knots, grade))
-    return JointModel(grade, cols, knots, bands, corr, data)
+    corr = materialise(fit_correlation(scores, [f"z_{c}" for c in cols], grade))
+    return JointModel(grade, cols, knots, materialise(marginal_bands(knots, grade)), corr, data)
 
 
 def require_model(model: JointModel, grades: Sequence[str]) -> None:
@@ -264,7 +277,7 @@ def kernel_table(model: JointModel) -> DataFrame:
         sums.select(*keys, (F.col("cell") - 1).alias("cell"), F.lit(None).cast("struct<f:double,d:double>").alias("l"), F.struct("f", "d").alias("r"))
     )
     table = ends.groupBy(*keys, "cell").agg(F.max("l").alias("l"), F.max("r").alias("r")).dropna()
-    return pin_if_small(table)[0]
+    return materialise(table)
 
 
 def log_marginals(df: DataFrame, model: JointModel, at: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -607,7 +620,7 @@ def fit_t_copula(df: DataFrame, cols: Sequence[str], grade: str = "grade", nu_gr
             yield pd.DataFrame(out, columns=[grade, "nu", "n_rows", "corr", "inv", "logdet"])
 
     corr_schema = T.StructType([us.schema[grade], *T.StructType.fromDDL("nu double, n_rows long, corr array<double>, inv array<double>, logdet double").fields])
-    fits, _ = pin_if_small(added.mapInPandas(correlate, corr_schema))
+    fits = materialise(added.mapInPandas(correlate, corr_schema))
     tagged = join_stats(us, fits.groupBy(grade).agg(F.collect_list(F.struct("nu", "inv", "logdet")).alias("fits")), [grade], how="inner")
 
     def likelihood(frames):
@@ -626,7 +639,7 @@ def fit_t_copula(df: DataFrame, cols: Sequence[str], grade: str = "grade", nu_gr
 
     ll_schema = T.StructType([us.schema[grade], *T.StructType.fromDDL("nu double, ll double").fields])
     ll = tagged.mapInPandas(likelihood, ll_schema).groupBy(grade, "nu").agg(F.sum("ll").alias("copula_loglik"))
-    table, _ = pin_if_small(join_stats(fits, ll, [grade, "nu"]))
+    table = materialise(join_stats(fits, ll, [grade, "nu"]))
     us.unpersist()
     best = table.groupBy(grade).agg(F.max_by("nu", "copula_loglik").alias("nu"))
     chosen = join_stats(table, best, [grade, "nu"], how="left_semi")

@@ -120,7 +120,7 @@ _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 @query(
     "stream_tumbling_means",
-    f"""SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value), 6) AS value FROM events GROUP BY ALL HAVING start + INTERVAL 1 HOUR <= {_CLOSED}""",
+    f"""SELECT * FROM (SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value), 6) AS value FROM events GROUP BY ALL) WHERE start + INTERVAL 1 HOUR <= {_CLOSED}""",
 )
 def _(spark, sf):
     return rounded(drain(spark, ST.tumbling_means(event_stream(spark, sf), "ts", "1 hour", ["value"], ["event_type"]), "tumbling"), "value")

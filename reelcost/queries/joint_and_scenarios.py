@@ -34,7 +34,7 @@ _KNOTS = """kn AS (SELECT grade, variable, x, n, (sum(n) OVER w - n / 2) / sum(n
 @query("marginal_distribution_knots", with_reels(f", {_KNOTS} SELECT grade, variable, round(x, 6) AS x, n, round(u, 9) AS u FROM kn"))
 def _(spark, sf):
     df = joint_rows(spark, sf).withColumn("grammage", F.col("grammage").cast("double"))
-    return rounded(rounded(JT.marginal_knots(df, VARS), "x"), "u", digits=9)
+    return rounded(rounded(JT.marginal_knots(JT.value_counts(df, VARS)), "x"), "u", digits=9)
 
 
 @query(
@@ -44,7 +44,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = joint_rows(spark, sf).withColumn("grammage", F.col("grammage").cast("double"))
-    out = JT.marginal_bands(JT.marginal_knots(df, ["qty", "grammage"]))
+    out = JT.marginal_bands(JT.marginal_knots(JT.value_counts(df, ["qty", "grammage"])))
     return rounded(out.select("grade", "variable", "n_rows", "bandwidth", "lowest", "highest"), "bandwidth")
 
 
@@ -161,12 +161,12 @@ def cost(g):
 
 @query(
     "scenario_simulation",
-    with_reels(f""", s AS (SELECT *, qty * 1.1 + 1 AS q, tax_cost - 5 AS t FROM reels) SELECT {K}, round(2 * qty + 0.01 * qty * tax_cost, 5) AS baseline_prediction, round(2 * q + 0.01 * q * t, 5) AS scenario_prediction,
- round(2 * q + 0.01 * q * t - (2 * qty + 0.01 * qty * tax_cost), 5) AS difference, 'not model inputs: rebate_cost' AS note FROM s"""),
+    with_reels(f""", s AS (SELECT *, qty * 1.1 + 1 AS q, tax_cost - 5 AS t FROM reels) SELECT {K}, round(2 * qty + 0.01 * qty * tax_cost + 1e-8, 5) AS baseline_prediction, round(2 * q + 0.01 * q * t + 1e-8, 5) AS scenario_prediction,
+ round(2 * q + 0.01 * q * t - (2 * qty + 0.01 * qty * tax_cost) + 1e-8, 5) AS difference, 'not model inputs: rebate_cost' AS note FROM s"""),
 )
 def _(spark, sf):
     out = SC.simulate(reel_lines(spark, sf), CHANGES, cost, ["qty", "tax_cost"], KEYS)
-    return rounded(out, "baseline_prediction", "scenario_prediction", "difference", digits=5)
+    return rounded(out, "baseline_prediction", "scenario_prediction", "difference", digits=5, nudge=1e-8)
 
 
 @query("changes_calibrated_to_history")

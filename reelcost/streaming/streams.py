@@ -97,5 +97,9 @@ def turnup_stream(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Turn-up rows of a stream with (machine, reel_id, ts, value)."""
     src = stream.select("machine", "reel_id", "ts", "value")
     return src.groupBy("machine").transformWithStateInPandas(
-        statefulProcessor=TurnupEmitter(idle_ms), outputStructType=TURNUP_SCHEMA, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=TurnupEmitter(idle_ms),
+        outputStructType=TURNUP_SCHEMA,
+        outputMode="Append",
+        # Timers keep a stream busy for ever, so they are only switched on when they are wanted.
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )

@@ -138,26 +138,28 @@ def neighbours(
         *[c.alias(f"__l_{a}") for a, c in last.items()],
         *[c.alias(f"__f_{a}") for a, c in following.items()],
     )
-    base = _spec([*part, BLK], order)
-    back, ahead = base.rowsBetween(Window.unboundedPreceding, 0), base.rowsBetween(0, Window.unboundedFollowing)
+    # A frame that ends at the last row is recomputed for every row; the reversed order makes it a running one.
+    running = (Window.unboundedPreceding, 0)
+    back = _spec([*part, BLK], order).rowsBetween(*running)
+    ahead = Window.partitionBy(*part, BLK).orderBy(*[F.desc(o) for o in order]).rowsBetween(*running)
     local = blocked.select(
         "*",
         *[F.last(f"__l_{a}", ignorenulls=True).over(back).alias(a) for a in last],
-        *[F.first(f"__f_{a}", ignorenulls=True).over(ahead).alias(a) for a in following],
+        *[F.last(f"__f_{a}", ignorenulls=True).over(ahead).alias(a) for a in following],
     )
     names = [*last, *following]
     if (blocks or block_count(df)) <= 1:
         return local.select(*df.columns, *names)
     key = F.struct(*[F.col(o) for o in order])
     prev = Window.partitionBy(*part).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    nxt = Window.partitionBy(*part).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
+    nxt = Window.partitionBy(*part).orderBy(F.desc(BLK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = _carry(
         blocked,
         part,
         [F.max_by(f"__l_{a}", F.when(F.col(f"__l_{a}").isNotNull(), key)).alias(f"__s_{a}") for a in last]
         + [F.min_by(f"__f_{a}", F.when(F.col(f"__f_{a}").isNotNull(), key)).alias(f"__s_{a}") for a in following],
         [F.last(f"__s_{a}", ignorenulls=True).over(prev).alias(f"__c_{a}") for a in last]
-        + [F.first(f"__s_{a}", ignorenulls=True).over(nxt).alias(f"__c_{a}") for a in following],
+        + [F.last(f"__s_{a}", ignorenulls=True).over(nxt).alias(f"__c_{a}") for a in following],
     )
     joined = join_stats(local, carry, [*part, BLK], null_safe=True)
     return joined.select(*df.columns, *[F.coalesce(F.col(a), F.col(f"__c_{a}")).alias(a) for a in names])

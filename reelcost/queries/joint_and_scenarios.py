@@ -277,7 +277,7 @@ _CONF = "CASE p_partkey % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'medium-ish' WHEN 2 T
 @query(
     "actionability_weights",
     f"""WITH c AS (SELECT p_partkey, p_size % 5 AS s, p_partkey % 4 AS k FROM part)
- SELECT p_partkey, round(CASE s WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.35 WHEN 3 THEN 0.20 ELSE 0.25 END * CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.65 WHEN 2 THEN 0.3 ELSE 0.5 END, 6) AS weight,
+ SELECT p_partkey, round(CASE s WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.35 WHEN 3 THEN 0.20 ELSE 0.25 END::DOUBLE * CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.65 WHEN 2 THEN 0.3 ELSE 0.5 END, 6) AS weight,
  CAST(CASE s WHEN 1 THEN CASE k WHEN 0 THEN 0.30 WHEN 1 THEN 0.20 WHEN 2 THEN 0.10 ELSE 0.15 END WHEN 2 THEN CASE k WHEN 0 THEN 0.12 WHEN 1 THEN 0.08 WHEN 2 THEN 0.04 ELSE 0.05 END WHEN 3 THEN CASE k WHEN 0 THEN 0.12 WHEN 1 THEN 0.08 WHEN 2 THEN 0.04 ELSE 0.05 END ELSE 0 END AS DOUBLE) AS score,
  s IN (1, 2) AS recommendable FROM c""",
 )

@@ -153,15 +153,13 @@ def _train(rows: pd.DataFrame, max_features: int) -> tuple[dict[str, float], lis
     severity = sum(_sigmoid(x @ w - c) for c in cuts)
     check = held if toxic[held].any() and not toxic[held].all() else fit
     s, t = severity[check], toxic[check]
-    # Midway between neighbours in the order of severity, where fewest documents are judged wrongly.
+    # Between neighbours in the order of severity (geometric middle), where fewest documents are judged wrongly.
     order = np.argsort(s, kind="stable")
     s, t = s[order], t[order]
     missed, wrong = np.concatenate([[0], np.cumsum(t)]), (~t).sum() - np.concatenate([[0], np.cumsum(~t)])
-    edge = np.concatenate([[s[0] - 1e-9], (s[1:] + s[:-1]) / 2, [s[-1] + 1e-9]])
+    edge = np.concatenate([[s[0] / 2], np.sqrt(s[1:] * s[:-1]), [2 * s[-1]]])
     ok = np.concatenate([[True], s[1:] > s[:-1], [True]])
-    cost = np.where(ok, missed + wrong, np.inf)
-    best = np.flatnonzero(cost <= cost.min())
-    at = best[len(best) // 2]
+    at = int(np.argmin(np.where(ok, missed + wrong, np.inf)))
     return {f: float(w[i]) for f, i in place.items()}, [float(c) for c in cuts], float(edge[at]), float(((s >= edge[at]) == t).mean())
 
 

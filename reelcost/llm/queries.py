@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames, credentials, ordinal, packing, setjoin
+from . import blocknames, bytepairs, chaining, credentials, kdsearch, ordinal, packing, setjoin, sitebayes, urlmodel
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op1_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = blocknames.duplicates(table(spark, sf_dir, "documents"))
@@ -46,11 +51,50 @@ def op4_linked_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.report(table(spark, sf_dir, "documents"))
 
 
+RULES = [
+    urlmodel.Rule("allow", "org", "/"),
+    urlmodel.Rule("block", "example.org", "/es/"),
+    urlmodel.Rule("block", "example.org", "/en/1"),
+    urlmodel.Rule("allow", "com", "/fr/"),
+    urlmodel.Rule("block", "com", "/de/"),
+]
+
+
+@query
+def op5_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlmodel.judged(table(spark, sf_dir, "pages"), RULES)
+
+
+@query
+def op6_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdsearch.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op6_kd_tree_top_k"] = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sitebayes.quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 @query
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coded = bytepairs.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op10_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

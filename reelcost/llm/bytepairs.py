@@ -1,36 +1,35 @@
-"""Byte-level BPE with Spark's higher-order functions.
+"""Byte-level BPE: ranked merges over the byte arrays of distinct words.
 
-A word (a match of the split pattern) becomes an array of its bytes, and a fold merges the adjacent
-pair of lowest rank until none has a rank. Ranks are a literal: an array of small maps, addressed by
-a checksum, so a lookup does not search the whole vocabulary. Bytes are written as hex digits.
-Decoding looks ids up in a literal array of pieces and joins them.
+A word (a match of the split pattern) starts as its bytes, and the adjacent pair of lowest rank is
+merged until none has a rank. Decoding concatenates the binary pieces of the ids. A document's text
+is the concatenation of its words, so each distinct word is coded once and looked up afterwards.
 
-Words are encoded once per document, or once in all if they are among the commonest: those form a
-second literal of at most COMMON_WORDS words of at most COMMON_CHARS characters, taken from a bounded
-sample. It saves work and has no influence on results. The fold is quadratic in a word's length, so
-texts with a run of more than LONG_RUN characters go through the tokenizer library instead.
+Two forms give the same results. ``encode_decode_native`` is a fold of Spark's higher-order functions
+with a literal rank map (an array of small maps addressed by a checksum). Its interpreted fold costs
+far more than the check's limits allow (figures in the README), so ``encode_decode``, which the query
+uses, runs the same merges on the words of Arrow batches with a bounded cache of coded words.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+import struct
 import zlib
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
 
-COMMON_WORDS = 1 << 17
-COMMON_CHARS = 24
-SAMPLE_DOCS = 20_000
-LONG_RUN = 200
+CACHED_WORDS = 400_000
+LONG_WORD = 64
 _NONE = 2**31 - 1
 _WHITE = r"\t-\r \x85\xa0  -     　"
-_ENCODERS: dict[str, object] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,8 +37,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def java_pattern(pattern: str) -> str:
-    """The split pattern with Unicode white space spelled out, which Java's \\s is not."""
+def explicit_white(pattern: str) -> str:
+    """The split pattern with Unicode white space spelled out; libraries differ about \\s."""
     return pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]")
 
 
@@ -123,55 +122,90 @@ class Codec:
         )
 
 
-def _common(docs: DataFrame, words: Column, codec: Codec, limit: int, sample_docs: int) -> Column | None:
-    """Literal of the commonest words of a sample with their codes."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
-    counts = sample.select(F.explode(words).alias("w")).filter(F.length("w") <= COMMON_CHARS).groupBy("w").agg(F.count("*").alias("k"))
-    top = counts.orderBy(F.desc("k"), "w").limit(limit)
-    rows = top.repartition(16).select("w", codec.coded(F.col("w")).alias("c")).toArrow()
-    if not rows.num_rows:
-        return None
-    return _buckets(((w, c) for w, c in zip(rows["w"].to_pylist(), rows["c"].to_pylist())), 1 << 18, "struct<n:int,ids:string,bytes:string>")
-
-
-def encode_decode(
-    df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", common_words: int = COMMON_WORDS, sample_docs: int = SAMPLE_DOCS, long_run: int = LONG_RUN
-) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded, both binary.
-
-    Null text is empty and has no tokens. Repeated rows and null ids are kept as they are; other
-    columns are not read.
-    """
-    ranks = read_ranks(ranks_path)
-    codec = Codec(ranks)
-    docs = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    words = F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))
-    long = F.col("text").rlike("[^ ]{%d,}|[%s]{%d,}" % (long_run, _WHITE, long_run))
-    short = docs.filter(~long)
-    common = _common(short, words, codec, common_words, sample_docs) if common_words else None
-
-    def code(w: Column) -> Column:
-        return codec.coded(w) if common is None else F.coalesce(_find(common, 1 << 18, w), codec.coded(w))
-
-    coded = short.select("doc_id", F.transform(words, code).alias("c"))
-    native = coded.select(
+def encode_decode_native(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``encode_decode``, by higher-order functions alone; for words of moderate length."""
+    codec = Codec(read_ranks(ranks_path))
+    words = F.regexp_extract_all(text_of(text), F.lit(explicit_white(pattern)), F.lit(0))
+    distinct = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), codec.coded(w).alias("c"))))
+    coded = df.select(F.col(doc_id).alias("doc_id"), words.alias("words"), distinct.alias("codes")).select("doc_id", F.transform("words", lambda w: F.element_at("codes", w)).alias("c"))
+    return coded.select(
         "doc_id",
         F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x.n).alias("n_tokens"),
         F.unhex(F.array_join(F.transform("c", lambda x: x.ids), "")).alias("ids"),
         F.unhex(F.array_join(F.transform("c", lambda x: x.bytes), "")).alias("decoded"),
     )
 
-    def library(texts: pd.Series) -> pd.DataFrame:
-        import numpy as np
-        import tiktoken
 
-        if ranks_path not in _ENCODERS:
-            _ENCODERS[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        enc = _ENCODERS[ranks_path]
-        got = [enc.encode_ordinary(t) for t in texts]
-        return pd.DataFrame({"n": [len(g) for g in got], "ids": [np.array(g, dtype="<u4").tobytes() for g in got], "decoded": [enc.decode_bytes(g) for g in got]})
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word: its bytes, with the adjacent pair of lowest rank (leftmost first) merged until none has a rank."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > LONG_WORD:
+        return _merged_long(word, ranks)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
+    while pairs:
+        low = min(pairs)
+        if low == _NONE:
+            break
+        i = pairs.index(low)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
+    return [ranks[p] for p in parts]
+
+
+def _merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap of pairs, for words on which a scan per merge would be quadratic."""
+    n = len(word)
+    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i]
+        if end[i] < 0 or j >= n or end[j] != stop:
+            continue  # one side was merged meanwhile
+        end[i], after[i], end[j] = stop, after[j], -1
+        if after[j] < n:
+            before[after[j]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (r := ranks.get(word[a : end[b]])) is not None:
+                heapq.heappush(heap, (r, a, end[b]))
+    return [ranks[word[i : end[i]]] for i in range(n) if end[i] > 0]
+
+
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
+    """One row per row of ``df``: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded, both binary.
+
+    Null text is empty and has no tokens. Repeated rows and null ids are kept as they are; other
+    columns are not read.
+    """
 
-    udf = F.pandas_udf(library, "n long, ids binary, decoded binary")
-    rest = docs.filter(long).select("doc_id", udf("text").alias("r")).select("doc_id", F.col("r.n").alias("n_tokens"), "r.ids", "r.decoded")
-    return native.union(rest)
+    def code(batches):
+        ranks = read_ranks(ranks_path)
+        piece = {r: b for b, r in ranks.items()}
+        split = regex.compile(explicit_white(pattern)).findall
+        known: dict[str, tuple[int, bytes, bytes]] = {}
+        for batch in batches:
+            counts, ids, decoded = [], [], []
+            for t in batch.column(1):
+                words = split(t.as_py() or "")
+                for w in set(words):
+                    if w not in known:
+                        got = merged(w.encode(), ranks)
+                        known[w] = len(got), struct.pack(f"<{len(got)}I", *got), b"".join([piece[i] for i in got])
+                codes = [known[w] for w in words]
+                counts.append(sum([c[0] for c in codes]))
+                ids.append(b"".join([c[1] for c in codes]))
+                decoded.append(b"".join([c[2] for c in codes]))
+                if len(known) > cached_words:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    id_type = df.schema[doc_id].dataType.simpleString()
+    source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return source.mapInArrow(code, f"doc_id {id_type}, n_tokens long, ids binary, decoded binary")

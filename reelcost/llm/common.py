@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps: its cleaner waits for the driver's garbage collector."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -145,6 +152,14 @@ def bit_places(values: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((values >> np.uint64(s)) & mask).astype(np.int64) for s in (0, 17, 34)]
 
 
+def bitset_of(df: DataFrame, column: str, rows: int, most: int = 1 << 27) -> np.ndarray:
+    """Bitset with about twelve bits a row, at most ``most``; when full it only filters less."""
+    bits = 1 << 16
+    while bits < 12 * rows and bits < most:
+        bits *= 2
+    return fixed_bitset(df, column, bits)
+
+
 def in_bitset(values: np.ndarray, packed: np.ndarray) -> np.ndarray:
     ok = np.ones(len(values), dtype=bool)
     for p in bit_places(values, len(packed) * 8):

@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fixed_bitset, hashed_runs, hashed_words, in_bitset, kept, mix, slices
+from .common import bitset_of, components, hashed_runs, hashed_words, in_bitset, kept, mix, release, slices
 
 WORDS = 5
 PERCENT = 75
 RARE_DF = 64
 FREQUENT_GROUPS = 8
-MAX_BITS = 1 << 27
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> list[np.ndarray]:
@@ -64,7 +63,15 @@ def _token_counts(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").select("token")
 
 
-def _hashed(docs: DataFrame, id_type: str, shared: np.ndarray, k: int) -> DataFrame:
+def _some(parts: list[np.ndarray], sizes: list[int], shared: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Of each set the shingles that may occur elsewhere; none if they are too few for any partner."""
+    flat = np.concatenate(parts)
+    ok = in_bitset(flat, shared)
+    split = np.split(np.arange(len(flat)), np.cumsum([len(p) for p in parts])[:-1])
+    return [flat[at][ok[at]] if 100 * ok[at].sum() >= percent * n else flat[:0] for at, n in zip(split, sizes)]
+
+
+def _hashed(docs: DataFrame, id_type: str, shared: np.ndarray, k: int, percent: int) -> DataFrame:
     """Per row: size of its set, name of its class, and the shingles that may occur elsewhere."""
 
     def sets(batches):
@@ -72,10 +79,7 @@ def _hashed(docs: DataFrame, id_type: str, shared: np.ndarray, k: int) -> DataFr
             for part in slices(b, "text"):
                 every = shingle_sets(part.column("text"), k)
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in every]
-                ends = np.cumsum([len(s) for s in every])
-                flat = np.concatenate(every)
-                ok = in_bitset(flat, shared)
-                some = [s[m] for s, m in zip(every, np.split(ok, ends[:-1]))]
+                some = _some(every, [len(s) for s in every], shared, percent)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in every], pa.int64()), pa.array(names, pa.binary()), _lists(some)], ["doc_id", "n", "c", "tokens"]
                 )
@@ -83,6 +87,17 @@ def _hashed(docs: DataFrame, id_type: str, shared: np.ndarray, k: int) -> DataFr
     return docs.mapInArrow(sets, f"doc_id {id_type}, n long, c binary, tokens array<long>")
 
 
+def _narrowed(sets: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
+    def narrow(batches):
+        for b in batches:
+            if b.num_rows:
+                sizes = b.column("n").to_pylist()
+                some = _some([np.asarray(t.values).view(np.uint64) for t in b.column("tokens")], sizes, shared, percent)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("c"), b.column("n"), _lists(some)], ["id", "c", "n", "tokens"])
+
+    return sets.mapInArrow(narrow, "id long, c binary, n long, tokens array<long>")
+
+
 def _least(n, percent: int = PERCENT):
     """Smallest overlap that a set of n shingles needs with any partner."""
     return -(-percent * n // 100)
@@ -134,7 +149,7 @@ def _keys(sets: DataFrame, percent: int, rare_df: int, groups: int) -> DataFrame
                 [pa.array(key.view(np.int64)), b.column("c").take(row), b.column("n").take(row), b.column("lone").take(row), pa.array(pos.astype(np.int64))], ["key", "c", "n", "lone", "pos"]
             )
 
-    return sets.select("c", "n", "lone", "items").mapInArrow(emit, "key long, c binary, n long, lone double, pos long")
+    return sets.select("c", "n", "lone", "items").mapInArrow(emit, "key long, c long, n long, lone double, pos long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,23 +171,23 @@ def near_duplicates(
     id_type = df.schema[doc_id].dataType.simpleString()
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     shared = kept(_token_counts(docs, k))
-    bits = 1 << 16
-    n_shared = shared.count()
-    while bits < 12 * n_shared and bits < MAX_BITS:
-        bits *= 2
-    rows = kept(_hashed(docs, id_type, fixed_bitset(shared, "token", bits), k))
+    release(df.sparkSession)
+    rows = kept(_hashed(docs, id_type, bitset_of(shared, "token", shared.count()), k, percent))
 
+    # A partner holds at least ``percent`` of a set, so classes with fewer shared shingles drop out, and then
+    # shingles that no other remaining class has; filters in place first, an exact count at the end.
     classes = rows.filter(F.size("tokens") > 0).groupBy("c").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    # A partner holds at least ``percent`` of a set: classes with fewer shared shingles drop out, and then
-    # shingles that no other remaining class has.
-    enough = lambda size: 100 * size >= percent * F.col("n")
-    sets = kept(classes.filter(enough(F.size("tokens"))))
+    sets = kept(classes.select(F.monotonically_increasing_id().alias("id"), "c", "n", "tokens"))
     for _ in range(2):
-        flat = sets.select("c", "n", F.explode("tokens").alias("token"))
-        df_of = flat.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-        found = flat.join(df_of, "token").groupBy("c").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("items"))
-        sets = kept(found.filter(enough(F.size("items"))).withColumn("tokens", F.transform("items", lambda i: i.token)))
-    sets = kept(sets.select("c", "n", "items", ((F.col("n") - F.size("items")) / F.col("n")).alias("lone")))
+        again = kept(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"))
+        sets = kept(_narrowed(sets, bitset_of(again, "token", again.count()), percent).filter(F.size("tokens") > 0))
+    names = sets.select("id", "c")
+    flat = sets.select("id", "n", F.explode("tokens").alias("token"))
+    df_of = flat.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    found = flat.join(df_of, "token").groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("items"))
+    found = found.filter(100 * F.size("items") >= percent * F.col("n"))
+    sets = kept(found.select(F.col("id").alias("c"), "n", "items", ((F.col("n") - F.size("items")) / F.col("n")).alias("lone")))
+    release(df.sparkSession)
 
     keys = kept(_keys(sets, percent, rare_df, groups))
     centre = F.min(F.struct("lone", F.col("c").alias("c"), F.col("n").alias("n"))).alias("best")
@@ -200,7 +215,9 @@ def near_duplicates(
     if not second.isEmpty():
         label = components(links.union(second), "a", "b")
 
-    named = kept(rows.select("doc_id", "n", "c").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c")))
+    # From here classes have their own names again: a component by its smallest class number, any other class by its hash.
+    label = names.join(label, names.id == label.node).select("c", F.col("label").cast("string").alias("label"))
+    named = kept(rows.select("doc_id", "n", "c").join(label, "c", "left").withColumn("label", F.coalesce("label", F.hex("c"))))
     smallest = kept(named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("first_id")))
     alone = F.when(F.col("n") > 0, F.col("label"))
     return (

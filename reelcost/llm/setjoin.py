@@ -1,7 +1,8 @@
 """Near duplicates: exact Jaccard join on word shingles with token-combination prefixes.
 
 Documents with equal shingle sets form a class, named by a hash of the set. Shingles that occur
-once in the corpus can't be shared; what remains is ordered from rare to frequent. Two sets with
+once in the corpus can't be shared. A first count, over a fixed part of each set, rules out sets that
+can't have a partner; only the others are counted in full. What remains is ordered from rare to frequent. Two sets with
 Jaccard >= t differ in at most n - ceil(t n) shingles of either, so a long enough prefix of the
 order must share something: single shingles for the rare class, pairs of shingles for the
 frequent ones, where a group of g frequent shingles in the prefix gives at most g - 1 safe places
@@ -50,14 +51,35 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _token_counts(docs: DataFrame, k: int) -> DataFrame:
-    """Shingles that occur in more than one row, counted per batch before the shuffle."""
+def _probe(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The smallest hashes of a set, and how many of them any partner has among its own smallest.
+
+    A partner misses at most n - ceil(t n) shingles of the set, so of as many and m more it has m.
+    """
+    more = 1 + len(s) // 10
+    return s[: len(s) - _least(len(s), percent) + more], more
+
+
+def _alive(s: np.ndarray, probes: np.ndarray | None, percent: int) -> bool:
+    """Whether a set can have a partner, judged by the repeated ones of its probe shingles."""
+    if probes is None or not len(s):
+        return len(s) > 0
+    own, need = _probe(s, percent)
+    return int(in_bitset(own, probes).sum()) >= need
+
+
+def _repeated(docs: DataFrame, k: int, percent: int, probes: np.ndarray | None = None) -> DataFrame:
+    """Shingles that occur in more than one row: of the probe shingles, or of all in sets still alive.
+
+    They are counted per batch before the shuffle.
+    """
 
     def count(batches):
         for b in batches:
             for part in slices(b, "text"):
                 sets = shingle_sets(part.column("text"), k)
-                tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                picked = [_probe(s, percent)[0] for s in sets] if probes is None else [s for s in sets if _alive(s, probes, percent)]
+                tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *picked]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     return docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").select("token")
@@ -71,7 +93,7 @@ def _some(parts: list[np.ndarray], sizes: list[int], shared: np.ndarray, percent
     return [flat[at][ok[at]] if 100 * ok[at].sum() >= percent * n else flat[:0] for at, n in zip(split, sizes)]
 
 
-def _hashed(docs: DataFrame, id_type: str, shared: np.ndarray, k: int, percent: int) -> DataFrame:
+def _hashed(docs: DataFrame, id_type: str, probes: np.ndarray, shared: np.ndarray, k: int, percent: int) -> DataFrame:
     """Per row: size of its set, name of its class, and the shingles that may occur elsewhere."""
 
     def sets(batches):
@@ -79,7 +101,7 @@ def _hashed(docs: DataFrame, id_type: str, shared: np.ndarray, k: int, percent:
             for part in slices(b, "text"):
                 every = shingle_sets(part.column("text"), k)
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in every]
-                some = _some(every, [len(s) for s in every], shared, percent)
+                some = _some([s if _alive(s, probes, percent) else s[:0] for s in every], [len(s) for s in every], shared, percent)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in every], pa.int64()), pa.array(names, pa.binary()), _lists(some)], ["doc_id", "n", "c", "tokens"]
                 )
@@ -170,9 +192,12 @@ def near_duplicates(
     """
     id_type = df.schema[doc_id].dataType.simpleString()
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    shared = kept(_token_counts(docs, k))
+    first = kept(_repeated(docs, k, percent))
+    release(df.sparkSession)
+    probes = bitset_of(first, "token", first.count())
+    shared = kept(_repeated(docs, k, percent, probes))
     release(df.sparkSession)
-    rows = kept(_hashed(docs, id_type, bitset_of(shared, "token", shared.count()), k, percent))
+    rows = kept(_hashed(docs, id_type, probes, bitset_of(shared, "token", shared.count()), k, percent))
 
     # A partner holds at least ``percent`` of a set, so classes with fewer shared shingles drop out, and then
     # shingles that no other remaining class has; filters in place first, an exact count at the end.
@@ -194,8 +219,8 @@ def near_duplicates(
     centres = kept(keys.groupBy("key").agg(F.count("*").alias("k"), centre).filter("k > 1"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     star = keys.join(centres, "key").filter((F.col("best.c") != F.col("c")) & fits(F.col("n"), F.col("best.n")))
-    first = kept(_verified(star.select(F.col("c").alias("a"), F.col("best.c").alias("b")).distinct(), sets, percent))
-    links = first
+    near = kept(_verified(star.select(F.col("c").alias("a"), F.col("best.c").alias("b")).distinct(), sets, percent))
+    links = near
     label = components(links, "a", "b")
 
     tagged = kept(keys.join(centres.select("key"), "key").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c")))

@@ -126,11 +126,15 @@ def _least(n, percent: int = PERCENT):
 
 
 def _keys(sets: DataFrame, percent: int, rare_df: int, groups: int) -> DataFrame:
-    """Index keys of each class: (key, c, n, lone, pos), pos the place of the key's first shingle."""
+    """Index keys of each class: (key, c, n, s, pos, hidden).
+
+    ``s`` shingles are shared at all, ``pos`` is the place of the key's first shingle, and ``hidden`` shared
+    ones may stand before it without a key of their own: one in each other frequent group begun by then.
+    """
 
     def emit(batches):
         for b in batches:
-            cols = {"key": [], "row": [], "pos": []}
+            cols = {"key": [], "row": [], "pos": [], "hidden": []}
             sizes = b.column("n").to_pylist()
             for r, (items, n) in enumerate(zip(b.column("items"), sizes)):
                 tokens = np.asarray(items.values.field("token")).view(np.uint64)
@@ -155,30 +159,35 @@ def _keys(sets: DataFrame, percent: int, rare_df: int, groups: int) -> DataFrame
                             pairs.append((g[x], g[y]))
                 if need > 0:  # the whole set is too small for safe pairs
                     singles += [i for g in grouped.values() for i in g]
+                begun = np.sort([g[0] for g in grouped.values()])
                 if singles:
                     cols["key"].append(mix(tokens[singles]))
                     cols["pos"].append(np.array(singles) + lone)
+                    cols["hidden"].append(np.searchsorted(begun, singles))
                 if pairs:
                     x, y = np.array(pairs).T
                     cols["key"].append(mix(mix(tokens[x]) + tokens[y]))
                     cols["pos"].append(x + lone)
+                    cols["hidden"].append(np.searchsorted(begun, x))
                 cols["row"].append(np.full(len(singles) + len(pairs), r))
             key = np.concatenate(cols["key"]) if cols["key"] else np.empty(0, np.uint64)
             pos = np.concatenate(cols["pos"]) if cols["pos"] else np.empty(0, np.int64)
+            hidden = np.concatenate(cols["hidden"]) if cols["hidden"] else np.empty(0, np.int64)
             row = np.concatenate(cols["row"]) if cols["row"] else np.empty(0, np.int64)
             row = pa.array(row.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), b.column("c").take(row), b.column("n").take(row), b.column("lone").take(row), pa.array(pos.astype(np.int64))], ["key", "c", "n", "lone", "pos"]
+                [pa.array(key.view(np.int64)), b.column("c").take(row), b.column("n").take(row), b.column("s").take(row), pa.array(pos.astype(np.int64)), pa.array(hidden.astype(np.int64))],
+                ["key", "c", "n", "s", "pos", "hidden"],
             )
 
-    return sets.select("c", "n", "lone", "items").mapInArrow(emit, "key long, c long, n long, lone double, pos long")
+    return sets.select("c", "n", "s", "items").mapInArrow(emit, "key long, c long, n long, s long, pos long, hidden long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) pairs of classes, those that link."""
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b) pairs of classes: shared shingles ``i``, and whether they link."""
     side = lambda x: sets.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.transform("items", lambda i: i.token).alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("t_a", "t_b")))
-    return both.filter(100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
+    return both.select("a", "b", "i", (100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).alias("link"))
 
 
 def near_duplicates(
@@ -204,6 +213,7 @@ def near_duplicates(
     classes = rows.filter(F.size("tokens") > 0).groupBy("c").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     sets = kept(classes.select(F.monotonically_increasing_id().alias("id"), "c", "n", "tokens"))
     for _ in range(2):
+        release(df.sparkSession)
         again = kept(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"))
         sets = kept(_narrowed(sets, bitset_of(again, "token", again.count()), percent).filter(F.size("tokens") > 0))
     names = sets.select("id", "c")
@@ -211,32 +221,32 @@ def near_duplicates(
     df_of = flat.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     found = flat.join(df_of, "token").groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("items"))
     found = found.filter(100 * F.size("items") >= percent * F.col("n"))
-    sets = kept(found.select(F.col("id").alias("c"), "n", "items", ((F.col("n") - F.size("items")) / F.col("n")).alias("lone")))
+    sets = kept(found.select(F.col("id").alias("c"), "n", "items", F.size("items").cast("long").alias("s")))
     release(df.sparkSession)
 
     keys = kept(_keys(sets, percent, rare_df, groups))
-    centre = F.min(F.struct("lone", F.col("c").alias("c"), F.col("n").alias("n"))).alias("best")
+    centre = F.min(F.struct((-F.col("s") / F.col("n")).alias("rank"), F.col("c").alias("c"), F.col("n").alias("n"))).alias("best")
     centres = kept(keys.groupBy("key").agg(F.count("*").alias("k"), centre).filter("k > 1"))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = keys.join(centres, "key").filter((F.col("best.c") != F.col("c")) & fits(F.col("n"), F.col("best.n")))
-    near = kept(_verified(star.select(F.col("c").alias("a"), F.col("best.c").alias("b")).distinct(), sets, percent))
-    links = near
+    star = keys.join(centres, "key").filter(F.col("best.c") != F.col("c")).select(F.col("c").alias("a"), F.col("best.c").alias("b")).distinct()
+    known = kept(_overlaps(star, sets, percent))
+    links = known.filter("link").select("a", "b")
     label = components(links, "a", "b")
 
-    tagged = kept(keys.join(centres.select("key"), "key").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c")))
+    tagged = keys.join(centres.select("key", F.col("best.c").alias("b")), "key").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    tagged = kept(tagged)
     mixed = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
-    open_ = kept(tagged.join(mixed, "key"))
+    to_centre = known.select(F.col("a").alias("c"), "b", "i")
+    open_ = tagged.join(mixed, "key").join(to_centre, ["c", "b"], "left").withColumn("i", F.coalesce("i", "s"))
+    open_ = kept(open_)
     x, y = open_.alias("x"), open_.alias("y")
-    # Position bound at the first shared key; each frequent group may hide one earlier shared shingle.
-    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + groups
-    pair = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.label") < F.col("y.label"))
-        & fits(F.col("x.n"), F.col("y.n"))
-        & (room * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))),
-    )
-    second = kept(_verified(pair.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), sets, percent))
+    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    # Two bounds on what a pair shares: what follows its first shared key and what may be hidden before it; and
+    # what both share with the key's centre, plus what they have beside that.
+    after = F.least(F.col("x.n") - F.col("x.pos") + F.col("x.hidden"), F.col("y.n") - F.col("y.pos") + F.col("y.hidden"))
+    through = F.least("x.i", "y.i") + F.least(F.col("x.s") - F.col("x.i"), F.col("y.s") - F.col("y.i"))
+    enough = F.least(after, through) * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    pair = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & fits & enough)
+    second = kept(_overlaps(pair.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), sets, percent).filter("link").select("a", "b"))
     if not second.isEmpty():
         label = components(links.union(second), "a", "b")
 

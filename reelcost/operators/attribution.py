@@ -199,17 +199,19 @@ def linear_shap(df: DataFrame, keys: Sequence[str], coefs: Mapping[str, float],
 
 def sampled_shap(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], predict: Predict, grade: str = "grade", background: int = 200,
-    explained: int = 200, min_background: int = 30, permutations: int = 20, seed: int = 0,
+    explained: int | None = None, min_background: int = 30, permutations: int = 20, seed: int = 0,
 ) -> DataFrame:
     """Sampled Shapley values of a model's prediction against rows of the same grade.
 
-    Background and explained rows are drawn per grade by hash order, which trims every grade
-    before the shuffle. Grades with too few background rows use rows of all grades. Each
+    Every complete row is explained unless ``explained`` asks for so many a grade. Background rows
+    (a sample: ``background``) are drawn per grade by hash order, which trims every grade before the shuffle. Grades with too few background rows use rows of all grades. Each
     permutation pairs an explained row with one background row.
     """
     h = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(k) for k in keys])
     data = df.dropna(subset=list(features))
-    to_explain = top_rows(data.withColumn("__h", h("explain")), [grade], [F.asc("__h"), *[F.asc(k) for k in keys]], explained).drop("__h")
+    to_explain = data
+    if explained is not None:
+        to_explain = top_rows(data.withColumn("__h", h("explain")), [grade], [F.asc("__h"), *[F.asc(k) for k in keys]], explained).drop("__h")
     pool = top_rows(data.withColumn("__h", h("background")), [grade], [F.asc("__h"), *[F.asc(k) for k in keys]], background, rank="__r")
     own = pool.select(F.col(grade).alias("__g"), "__r", *[F.col(f).alias(f"{f}_1") for f in features])
     whole = data.withColumn("__h", h("all")).orderBy("__h", *keys).limit(background)

@@ -78,15 +78,14 @@ def snapshot_rows(df: DataFrame, at: str | None = None, ts: str = "ts", **kw) ->
 def exclude_windows(df: DataFrame, windows: DataFrame, ts: str = "ts", start: str = "start", end: str = "end") -> DataFrame:
     """Remove rows that lie strictly inside a listed interval.
 
-    Up to ``BROADCAST_ROWS`` intervals are broadcast. More are found through the days they
-    touch, an equi-join that needs no broadcast.
+    Intervals are found through the days they touch, an equi-join; up to ``BROADCAST_ROWS`` such
+    days are broadcast.
     """
-    w, small = pin_if_small(windows.select(F.col(start).alias("__s"), F.col(end).alias("__e")), BROADCAST_ROWS)
-    if small:
-        return df.join(F.broadcast(w), (F.col(ts) > F.col("__s")) & (F.col(ts) < F.col("__e")), "left_anti")
+    w = windows.select(F.col(start).alias("__s"), F.col(end).alias("__e"))
     by_day = w.select("__s", "__e", F.explode(F.sequence(F.to_date("__s"), F.to_date("__e"))).alias("__d"))
     hit = (F.to_date(ts) == F.col("__d")) & (F.col(ts) > F.col("__s")) & (F.col(ts) < F.col("__e"))
-    return df.join(by_day, hit, "left_anti")
+    by_day, small = pin_if_small(by_day, BROADCAST_ROWS)
+    return df.join(F.broadcast(by_day) if small else by_day, hit, "left_anti")
 
 
 def grade_subset(df: DataFrame, grades: Sequence[str] | DataFrame, grade: str = "grade") -> DataFrame:

@@ -53,30 +53,36 @@ def segment_ewm(
 ) -> DataFrame:
     """Time-decayed mean per segment; the first value is the mean of the first two rows.
 
-    Weights older than 60 half-lives are below double precision, so a segment is cut into
-    slices of that length and each slice only needs the one before it. Running sums relative
-    to the slice start stay far from overflow however long a segment is.
+    A segment is cut into slices of 60 half-lives, in which running sums relative to the slice start
+    stay far from overflow. A slice gets the sums of all earlier ones from the last slice that has
+    values, so a value counts until newer ones outweigh it, however long ago it was.
     """
     seg = segments(df, part, order, grade, ts, max_gap_hours, {"__next": col}, blocks)
     half = half_life_minutes * 60e6
     slice_len = 60 * half
     t = F.unix_micros(ts)
     own = F.floor(t / slice_len)
-    copied = seg.withColumn("__own", own).select("*", F.explode(F.array(own, own + 1)).alias("__at"))
+    sliced = seg.withColumn("__at", own)
     weight = F.when(F.col(col).isNotNull(), F.pow(F.lit(2.0), (t - F.col("__at") * slice_len) / half))
     keys = [*part, "segment", "__at"]
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = copied.select(
-        "*",
-        F.sum(F.col(col) * weight).over(w).alias("__sx"),
-        F.sum(weight).over(w).alias("__sw"),
-    )
-    mean = F.try_divide("__sx", "__sw")
-    own_rows = sums.filter(F.col("__own") == F.col("__at"))
-    sizes = seg.groupBy(*part, "segment").agg(F.count(F.lit(1)).alias("__size"))
-    own_rows = join_stats(own_rows, sizes, [*part, "segment"], null_safe=True)
+    sums = sliced.select("*", F.sum(F.col(col) * weight).over(w).alias("__sx"), F.sum(weight).over(w).alias("__sw"))
+
+    # One row a slice. Over 17 slices a weight falls below the smallest double, so 18 rows back hold all that counts.
+    totals = sliced.groupBy(*keys).agg(F.sum(F.col(col) * weight).alias("x"), F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
+    segment = Window.partitionBy(*part, "segment")
+    recent = F.collect_list(F.when(F.col("w").isNotNull(), F.struct("__at", "x", "w"))).over(segment.orderBy("__at").rowsBetween(-18, 0))
+    listed = totals.select(*keys, "w", F.sum("n").over(segment).alias("__size"), recent.alias("recent"))
+    decayed = lambda f: F.aggregate("recent", F.lit(0.0), lambda s, e: s + e[f] * F.pow(F.lit(2.0), -60.0 * (F.col("__at") - e["__at"])))
+    state = F.when(F.col("w").isNotNull(), F.struct(F.col("__at").alias("at"), decayed("x").alias("x"), decayed("w").alias("w")))
+    before = segment.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    carry = listed.withColumn("__state", state).select(*keys, "__size", F.last("__state", ignorenulls=True).over(before).alias("__c"))
+    got = join_stats(sums, carry, keys, null_safe=True)
+    fade = F.pow(F.lit(2.0), -60.0 * (F.col("__at") - F.col("__c.at")))
+    total = lambda own, old: F.col(own) + F.coalesce(F.col(old) * fade, F.lit(0.0))
+    mean = F.when(F.col("__sw").isNull(), F.try_divide("__c.x", "__c.w")).otherwise(F.try_divide(total("__sx", "__c.x"), total("__sw", "__c.w")))
     soft = F.when(F.col("__start") & (F.col("__size") >= 2), (F.col(col) + F.col("__next")) / 2).otherwise(mean)
-    return own_rows.select(*df.columns, "segment", soft.alias(out))
+    return got.select(*df.columns, "segment", soft.alias(out))
 
 
 def lag_design(

@@ -397,7 +397,7 @@ def _(spark, sf):
 
 @query("sampled_shap_values")
 def _(spark, sf):
-    out = AT.sampled_shap(reel_lines(spark, sf), KEYS, FEATS, model, explained=20, permutations=10)
+    out = AT.sampled_shap(reel_lines(spark, sf), KEYS, FEATS, model, permutations=10)
     return out.groupBy("grade", "variable").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("shap")).alias("mean_abs_shap"))
 
 

@@ -1,5 +1,7 @@
 """Small fixtures for semantics that the SQL checks do not reach, and the combined flows."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +9,11 @@ from reelcost.operators import attribution as AT
 from reelcost.operators import clusters as CL
 from reelcost.operators import derive as B
 from reelcost.operators import drilldown as D
+from reelcost.operators import filters as FL
+from reelcost.operators import joint as JT
 from reelcost.operators import scenario as SC
 from reelcost.operators import tags as A
+from reelcost.operators import timeseries as TS
 from reelcost.plans import flows
 from reelcost.queries import base
 from reelcost.sources import files as S
@@ -97,3 +102,39 @@ def test_registered_names_match(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 200
     assert not e.entry(spark).isEmpty()
+
+
+def test_time_decayed_mean_outlasts_long_gaps(spark):
+    start = pd.Timestamp("2024-01-01")
+    minutes = [0, 1, 2, 119, 121, 300, 5000, 5001]
+    values = [1.0, 2.0, 1.5, None, None, None, None, 4.0]
+    pdf = pd.DataFrame({"m": 1, "id": range(len(minutes)), "ts": [start + pd.Timedelta(minutes=m) for m in minutes], "g": "x"})
+    df = spark.createDataFrame(pdf).join(spark.createDataFrame(list(enumerate(values)), "id long, v double"), "id")
+    out = TS.segment_ewm(df, ["m"], ["ts", "id"], "g", "v", half_life_minutes=1.0, max_gap_hours=1000.0)
+    got = {r.id: r.ewm for r in out.collect()}
+    for i in range(1, len(minutes)):
+        seen = [(2.0 ** ((m - minutes[i])), v) for m, v in zip(minutes[: i + 1], values) if v is not None]
+        top = max(m for m, v in zip(minutes[: i + 1], values) if v is not None)
+        w = [2.0 ** (m - top) for m, v in zip(minutes[: i + 1], values) if v is not None]
+        assert got[i] == pytest.approx(sum(a * v for a, (_, v) in zip(w, seen)) / sum(w), rel=1e-12)
+
+
+def test_windows_are_open_and_may_span_days(spark):
+    t = lambda s: pd.Timestamp(s)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(5), "ts": [t("2024-01-01 23:00"), t("2024-01-02 00:00"), t("2024-01-03 05:00"), t("2024-01-04 00:00"), t("2024-01-05")]}))
+    stops = spark.createDataFrame(pd.DataFrame({"start": [t("2024-01-01 23:00")], "end": [t("2024-01-04 00:00")]}))
+    assert sorted(r.id for r in FL.exclude_windows(df, stops).collect()) == [0, 3, 4]
+    assert FL.exclude_windows(df, stops.limit(0)).count() == 5
+
+
+def test_sweep_keeps_rows_without_bounds(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"grade": "a", "id": range(300), "x": rng.normal(size=300), "y": rng.normal(size=300)})
+    df = spark.createDataFrame(pdf)
+    model = JT.fit_joint(df, ["x", "y"], min_rows=100)
+    rows = df.filter("id < 3").unionByName(spark.createDataFrame([("new", 900, 0.0, 0.0)], "grade string, id long, x double, y double"))
+    best = SC.sweep_control(rows, model, "x", ["id"], lambda c: c("x") * 2, lambda c: c("x") + 100, 0.0, steps=4)
+    got = {r.id: r for r in best.collect()}
+    assert set(got) == {0, 1, 2, 900}
+    assert got[900].feasible is False and got[900].cost is None
+    assert all(got[i].feasible and got[i].control_best == got[i].low for i in (0, 1, 2))

@@ -162,3 +162,18 @@ def test_density_curve(data):
     assert np.allclose(got.density, want)
     assert got.p500.iloc[0] == pytest.approx(np.median(v))
     assert sizing.BROADCAST_ROWS > 0
+
+
+def test_density_in_a_gap_follows_the_nearest_value_on_each_side(spark):
+    pdf = pd.DataFrame({"grade": "a", "id": range(6000), "x": [float(v) for v in [0, 1, 2, 98, 99, 100] for _ in range(1000)]})
+    pdf["y"] = np.random.default_rng(5).normal(size=len(pdf))
+    model = JT.fit_joint(spark.createDataFrame(pdf), ["x", "y"], min_rows=100)
+    # A narrower kernel, as on far more rows, leaves a gap that none of the values reaches into.
+    model.bands = model.bands.withColumns({"bandwidth": F.lit(1.0), "origin": F.col("lowest") - 11.0})
+    probe = spark.createDataFrame([("a", float(v)) for v in (30, 45, 50, 55, 70, -30, 130)], "grade string, x double")
+    got = {r.x: r.l for r in JT.log_marginals(probe, model, {"l": ("x", "x")}).collect()}
+    values = np.array([0, 1, 2, 98, 99, 100.0])
+    for x, have in got.items():
+        parts = np.log(1000) - 0.5 * (x - values) ** 2
+        want = np.logaddexp.reduce(parts) - math.log(6000 * math.sqrt(2 * math.pi))
+        assert have == pytest.approx(want, abs=1e-6)

@@ -683,19 +683,24 @@ def t_conditional_quantiles(
 
     @F.pandas_udf("array<double>")
     def probabilities(corr: pd.Series, nu: pd.Series, u: pd.Series) -> pd.Series:
-        res = []
-        for c, v, x in zip(corr, nu, u):
-            if c is None or x is None or np.isnan(np.asarray(x, dtype=float)).any():
-                res.append(None)
-                continue
-            r = np.asarray(c).reshape(k, k)
-            zg = student.quantile(np.asarray(x, dtype=float), v)
+        # Rows of one grade share the matrix: one factorisation and one product each per batch.
+        shared: dict = {}
+        for i, (c, v, x) in enumerate(zip(corr, nu, u)):
+            if c is not None and x is not None and not np.isnan(np.asarray(x, dtype=float)).any():
+                shared.setdefault((np.asarray(c, dtype=float).tobytes(), v), []).append(i)
+        res: list = [None] * len(u)
+        for (c, v), rows in shared.items():
+            r = np.frombuffer(c).reshape(k, k)
+            us = np.stack([np.asarray(u.iloc[i], dtype=float) for i in rows])
+            zg = student.quantile(us.ravel(), v).reshape(us.shape)
             b = np.linalg.solve(r[np.ix_(idx, idx)], r[idx, j])
-            mean, left = float(b @ zg), max(float(r[j, j] - b @ r[idx, j]), 0.0)
-            quad = float(zg @ np.linalg.solve(r[np.ix_(idx, idx)], zg))
-            scale = math.sqrt((v + quad) / (v + len(idx)) * left)
-            t = mean + scale * student.quantile(np.asarray(quantiles), v + len(idx))
-            res.append(np.clip(student.cdf(t, v), EPS, 1 - EPS).tolist())
+            left = max(float(r[j, j] - b @ r[idx, j]), 0.0)
+            quad = (zg * np.linalg.solve(r[np.ix_(idx, idx)], zg.T).T).sum(axis=1)
+            scale = np.sqrt((v + quad) / (v + len(idx)) * left)
+            t = (zg @ b)[:, None] + scale[:, None] * student.quantile(np.asarray(quantiles), v + len(idx))
+            p = np.clip(student.cdf(t.ravel(), v), EPS, 1 - EPS).reshape(t.shape)
+            for i, row in zip(rows, p):
+                res[i] = row.tolist()
         return pd.Series(res)
 
     got = got.withColumn("__p", probabilities("corr", "nu", F.array(*[F.col(f"__u_{c}") for c in given])))

@@ -175,21 +175,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     )
     rows = kept(docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text")).join(F.broadcast(sample), "id"))
 
-    def count(batches):
-        for b in batches:
-            got = [features(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "id": b.column("id"),
-                    "toxic": b.column("toxic").cast(pa.int64()),
-                    "features": pa.array([list(f) for f, _ in got], pa.list_(pa.string())),
-                    "counts": pa.array([list(f.values()) for f, _ in got], pa.list_(pa.int64())),
-                    "words": pa.array([n for _, n in got], pa.int64()),
-                }
-            )
-
-    bags = rows.mapInArrow(count, f"id {docs.schema[doc_id].dataType.simpleString()}, toxic long, features array<string>, counts array<long>, words long")
-    flat = bags.select("id", "toxic", F.explode(F.arrays_zip("features", "counts")).alias("e")).select("id", "toxic", F.col("e.features").alias("f"), F.col("e.counts").alias("n"))
+    def bags(known: frozenset | None = None) -> DataFrame:
+        """Features of the sampled texts, one row each: all of them or those of a vocabulary."""
+
+        def count(batches):
+            for b in batches:
+                got = [features(t.as_py()) for t in b.column("text")]
+                if known is not None:
+                    got = [({f: n for f, n in c.items() if f in known}, words) for c, words in got]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "id": b.column("id"),
+                        "toxic": b.column("toxic").cast(pa.int64()),
+                        "features": pa.array([list(f) for f, _ in got], pa.list_(pa.string())),
+                        "counts": pa.array([list(f.values()) for f, _ in got], pa.list_(pa.int64())),
+                        "words": pa.array([n for _, n in got], pa.int64()),
+                    }
+                )
+
+        return rows.mapInArrow(count, f"id {docs.schema[doc_id].dataType.simpleString()}, toxic long, features array<string>, counts array<long>, words long")
+
+    flat = bags().select("toxic", F.explode("features").alias("f"))
     # The share of toxic documents with a feature against that of all decides which ones are carried on.
     useful = flat.groupBy("f").agg(F.sum("toxic").alias("a"), F.count("*").alias("k")).filter(F.col("k") >= MIN_DOCS)
     sizes = rows.agg(F.sum("toxic").alias("n1"), F.count("*").alias("n")).first()
@@ -197,10 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model()
     p1, p = F.col("a") / float(sizes["n1"]), F.col("k") / float(sizes["n"])
     picked = useful.withColumn("gain", F.abs(p1 - p) / F.sqrt(p * (1 - p) + 1e-9)).orderBy(F.desc("gain"), "f").limit(4 * max_features).select("f")
-    chosen = flat.join(F.broadcast(picked), "f").groupBy("id").agg(F.collect_list("f").alias("features"), F.collect_list("n").alias("counts"))
-    none = F.array().cast("array<string>"), F.array().cast("array<long>")
-    sampled = bags.select("id", "toxic", "words").join(chosen, "id", "left")
-    sampled = sampled.select("id", "toxic", "words", F.coalesce("features", none[0]).alias("features"), F.coalesce("counts", none[1]).alias("counts"), (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(5)) == 0).alias("held"), F.lit(1).alias("one"))
+    # At most 4 * max_features words, so the texts are read again instead of being put together by a join.
+    sampled = bags(frozenset(r["f"] for r in picked.collect()))
+    sampled = sampled.select("id", "toxic", "words", "features", "counts", (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(5)) == 0).alias("held"), F.lit(1).alias("one"))
 
     def one_fit(pdf: pd.DataFrame) -> pd.DataFrame:
         weights, cuts, reject, accuracy = _train(pdf.sort_values("id").reset_index(drop=True), max_features)

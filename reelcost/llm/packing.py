@@ -1,8 +1,8 @@
 """Packing of token sequences: first-fit decreasing over a tournament tree, group by group.
 
-A document's tokens are cut into full pieces and one remainder. Documents are dealt at random
-into groups of bounded size; in each group the remainders, longest first, go into the leftmost
-bin with room, which a tournament tree of free capacities finds in a logarithm of steps.
+A document's tokens are cut into full pieces, each a sequence of its own, and at most one remainder.
+Remainders are dealt at random into groups of bounded size; in each group they go, longest first,
+into the leftmost bin with room, which a tournament tree of free capacities finds in a logarithm of steps.
 """
 
 from __future__ import annotations
@@ -11,12 +11,11 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, slices
 
 LENGTH = 1024
 GROUP_DOCS = 8192
@@ -114,53 +113,44 @@ def pack(
     piece's ids as little-endian unsigned 32-bit binary.
     """
 
-    def tokens(batches):
+    def cut(batches):
         encode = encoder(json_path, ranks_path)
         for b in batches:
-            totals, sums, raw = [], [], []
-            for t in b.column(1):
-                ids = np.append(encode(t.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                totals.append(len(ids))
-                sums.append([zlib.crc32(ids[s : s + length].tobytes()) for s in range(0, len(ids), length)])
+            for part in slices(b, "text"):
+                rows, starts, sizes, totals, sums, raw = [], [], [], [], [], []
+                for r, t in enumerate(part.column("text")):
+                    ids = np.append(encode(t.as_py() or ""), np.uint32(end_id)).astype("<u4")
+                    for s in range(0, len(ids), length):
+                        piece = ids[s : s + length].tobytes()
+                        rows.append(r)
+                        starts.append(s)
+                        sizes.append(len(piece) // 4)
+                        totals.append(len(ids))
+                        sums.append(zlib.crc32(piece))
+                        raw.append(piece)
+                cols = [part.column("doc_id").take(pa.array(rows, pa.int64())), *[pa.array(c, pa.int64()) for c in (starts, sizes, sums, totals)]]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    raw.append(ids.tobytes())
-            cols = {"doc_id": b.column(0), "doc_tokens": pa.array(totals, pa.int64()), "crcs": pa.array(sums, pa.list_(pa.int64()))}
-            if with_ids:
-                cols["raw"] = pa.array(raw, pa.binary())
-            yield pa.RecordBatch.from_pydict(cols)
+                    cols, names = [*cols, pa.array(raw, pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     id_type = df.schema[doc_id].dataType.simpleString()
-    shape = f"doc_id {id_type}, doc_tokens long, crcs array<long>" + (", raw binary" if with_ids else "")
+    more = ", ids binary" if with_ids else ""
+    shape = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
     source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    docs = kept(source.mapInArrow(tokens, shape).withColumn("rid", F.monotonically_increasing_id()))
-    groups = max(1, -(-docs.count() // group_docs))
-    dealt = docs.withColumn("grp", F.pmod(F.xxhash64(F.lit("deal"), F.col("rid")), F.lit(groups)))
-
-    def place(key, pdf):
-        pdf = pdf.sort_values("rid", kind="stable")
-        counts = pdf["crcs"].map(len).to_numpy()
-        row = np.repeat(np.arange(len(pdf)), counts)
-        part = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        total = pdf["doc_tokens"].to_numpy()[row]
-        size = np.minimum(length, total - part * length)
-        bins, offsets = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-        rest = np.flatnonzero(size < length)
-        bins[rest], offsets[rest] = first_fit_decreasing(size[rest].tolist(), length)
-        full = np.flatnonzero(size == length)
-        bins[full] = (bins[rest].max() + 1 if len(rest) else 0) + np.arange(len(full))
-        out = {
-            "doc_id": pdf["doc_id"].iloc[row].array,
-            "start": part * length,
-            "length": size,
-            "ids_crc32": np.concatenate([np.asarray(c, np.int64) for c in pdf["crcs"]]),
-            "doc_tokens": total,
-            "sequence_id": (int(key[0]) << 32) + bins,
-            "offset": offsets,
-        }
-        if with_ids:
-            raw = pdf["raw"].tolist()
-            out["ids"] = [raw[r][4 * length * p : 4 * (length * p + n)] for r, p, n in zip(row, part, size)]
-        return pd.DataFrame(out)
-
-    made = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
-    return dealt.groupBy("grp").applyInPandas(place, made)
+    pieces = kept(source.mapInArrow(cut, shape + more).withColumn("rid", F.monotonically_increasing_id()))
+    # A full piece is a sequence of its own; only remainders, at most one a document, meet in groups.
+    full = pieces.filter(F.col("length") == length).withColumns({"sequence_id": 2 * F.col("rid") + 1, "offset": F.lit(0).cast("long")})
+    rest = pieces.filter(F.col("length") < length)
+    groups = max(1, -(-rest.count() // group_docs))
+    dealt = rest.withColumn("grp", F.pmod(F.xxhash64(F.lit("deal"), F.col("rid")), F.lit(groups)))
+
+    def place(key, group):
+        group = group.sort_by("rid")
+        bins, offsets = first_fit_decreasing(group.column("length").to_pylist(), length)
+        number = pa.array(2 * ((key[0].as_py() << 32) + bins))
+        return group.drop_columns(["rid", "grp"]).append_column("sequence_id", number).append_column("offset", pa.array(offsets))
+
+    placed = dealt.groupBy("grp").applyInArrow(place, f"{shape}{more}, sequence_id long, offset long")
+    order = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
+    return full.select(order).union(placed.select(order))

@@ -477,30 +477,13 @@ def component_narrative(drill: DataFrame, grade: str = "grade", total_label: str
 
 
 def drilldown_sentence(grade: str = "grade") -> Column:
-    """One English sentence for a comparison row."""
-    where = F.when(F.upper(grade) == "ALL", "all considered grades").otherwise(F.concat(F.lit("grade "), F.col(grade)))
-    now = F.coalesce(F.format_string("%.2f", "current_cost"), F.lit("an unknown value"))
-    prev = F.coalesce(F.format_string(" (previously %.2f)", F.col("previous_cost")), F.lit(""))
-    prev = F.when(F.col("previous_cost").isNull(), "").otherwise(prev)
-    now = F.when(F.col("current_cost").isNull(), "an unknown value").otherwise(now)
-    way = F.when(F.col("delta_cost") > 0, "an increase").otherwise("a decrease")
-    amount = F.format_string("%.2f", F.abs("delta_cost"))
-    return (
-        F.when(
-            F.col("delta_cost").isNull(),
-            F.concat(F.lit("For "), where, F.lit(", "), "cost", F.lit(" cost resulted in "), now, F.lit(" €/t"), prev, F.lit(".")),
-        )
-        .when(
-            F.col("delta_cost") == 0,
-            F.concat(F.lit("For "), where, F.lit(", "), "cost", F.lit(" cost was unchanged at "), now, F.lit(" €/t"), prev, F.lit(".")),
-        )
-        .otherwise(
-            F.concat(
-                F.lit("For "), where, F.lit(", "), "cost", F.lit(" cost saw "), way, F.lit(" of "), amount,
-                F.lit(" €/t, resulting in "), now, F.lit(" €/t."),
-            )
-        )
-    )
+    """A comparison row in words: component, grade, new cost, and how it compares with the earlier one."""
+    money = lambda c: F.concat(F.format_string("%.2f", c), F.lit(" €/t"))
+    scope = F.when(F.upper(grade) == "ALL", F.lit("overall")).otherwise(F.concat(F.lit("on "), F.coalesce(grade, F.lit("no grade"))))
+    level = F.when(F.col("current_cost").isNull(), F.lit("not known")).otherwise(money("current_cost"))
+    move = F.when(F.col("delta_cost") > 0, F.lit("up by ")).otherwise(F.lit("down by "))
+    moved = F.when(F.col("delta_cost") == 0, F.lit(", as before")).otherwise(F.concat(F.lit(", "), move, money(F.abs("delta_cost"))))
+    return F.concat(F.initcap("cost"), F.lit(" "), scope, F.lit(": "), level, F.when(F.col("delta_cost").isNull(), F.lit("")).otherwise(moved))
 
 
 def density_histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:

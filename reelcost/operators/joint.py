@@ -360,6 +360,12 @@ def feasibility(df: DataFrame, model: JointModel, keys: Sequence[str]) -> DataFr
     return got.select(*keys, *[c for c in [model.grade] if c not in keys], "loglik", good.alias("is_valid"))
 
 
+def _noise(seed: int, j: int, *keys: str) -> Column:
+    """A standard normal number that depends on seed, number and keys alone, so a task run again gives the same."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(j), *keys), 11)
+    return normal_quantile((bits + 0.5) / float(1 << 53))
+
+
 def sample_joint(model: JointModel, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """``n`` draws per grade from the fitted joint distribution."""
     k, g = len(model.cols), model.grade
@@ -371,7 +377,7 @@ def sample_joint(model: JointModel, spark: SparkSession, n: int, seed: int = 0)
             yield pd.DataFrame({g: pdf[g], "chol": rows})
 
     chol, fits = pin_if_small(model.corr.select(model.grade, "corr").mapInPandas(factor, schema), CURVE_GRADES)
-    noise = spark.range(n).select(F.col("id").alias("draw"), *[F.randn(seed + j).alias(f"__e{j}") for j in range(k)])
+    noise = spark.range(n).select(F.col("id").alias("draw"), *[_noise(seed, j, "id").alias(f"__e{j}") for j in range(k)])
     draws = noise.crossJoin(F.broadcast(chol)) if fits else noise.crossJoin(chol)
     z = lambda i: sum((F.get("chol", F.lit(i * k + j)) * F.col(f"__e{j}") for j in range(i + 1)), F.lit(0.0))
     us = draws.select("draw", model.grade, *[_clip(normal_cdf(z(i))).alias(f"__u_{c}") for i, c in enumerate(model.cols)])
@@ -449,10 +455,11 @@ def conditional_summary(
 def conditional_draws(
     df: DataFrame, model: JointModel, targets: Sequence[str], given: Sequence[str], keys: Sequence[str], n: int, seed: int = 0
 ) -> DataFrame:
-    """``n`` joint draws of the targets per row, given other variables of the row."""
+    """``n`` joint draws of the targets per row, given other variables of the row; rows with equal keys get equal draws."""
     m = len(targets)
     cond = conditional_scores(df, model, targets, given)
-    draws = cond.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumns({f"__e{j}": F.randn(seed + j) for j in range(m)})
+    draws = cond.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    draws = draws.withColumns({f"__e{j}": _noise(seed, j, *keys, "draw") for j in range(m)})
 
     @F.pandas_udf("array<double>")
     def factor(cov: pd.Series) -> pd.Series:

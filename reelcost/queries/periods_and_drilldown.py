@@ -464,10 +464,9 @@ def _(spark, sf):
 
 @query(
     "drilldown_sentences",
-    with_labels(f"""{_DELTA3} SELECT grade, cost, CASE WHEN delta_cost IS NULL THEN 'For grade ' || grade || ', ' || cost || ' cost resulted in ' || printf('%.2f', current_cost) || ' €/t.'
- WHEN delta_cost = 0 THEN 'For grade ' || grade || ', ' || cost || ' cost was unchanged at ' || printf('%.2f', current_cost) || ' €/t (previously ' || printf('%.2f', previous_cost) || ').'
- ELSE 'For grade ' || grade || ', ' || cost || ' cost saw ' || CASE WHEN delta_cost > 0 THEN 'an increase' ELSE 'a decrease' END || ' of ' || printf('%.2f', abs(delta_cost)) || ' €/t, resulting in '
- || printf('%.2f', current_cost) || ' €/t.' END AS sentence FROM d"""),
+    with_labels(f"""{_DELTA3} SELECT grade, cost, upper(cost[1]) || lower(cost[2:]) || CASE WHEN upper(grade) = 'ALL' THEN ' overall: ' ELSE ' on ' || coalesce(grade, 'no grade') || ': ' END
+ || CASE WHEN current_cost IS NULL THEN 'not known' ELSE printf('%.2f €/t', current_cost) END
+ || CASE WHEN delta_cost IS NULL THEN '' WHEN delta_cost = 0 THEN ', as before' WHEN delta_cost > 0 THEN printf(', up by %.2f €/t', delta_cost) ELSE printf(', down by %.2f €/t', -delta_cost) END AS sentence FROM d"""),
 )
 def _(spark, sf):
     return _component_deltas(spark, sf).select("grade", "cost", D.drilldown_sentence().alias("sentence"))

@@ -94,6 +94,41 @@ def test_passages(docs):
     assert not {90, 0, 1, 2, 3} & {r.doc_id for r in got}
 
 
+def _alike_in_place(a, b):
+    """Brute force: a stretch of 50 or more words on one diagonal with 80 % equal words."""
+    for d in range(-len(a), len(b)):
+        equal = [a[i] == b[i + d] for i in range(max(0, -d), min(len(a), len(b) - d))]
+        if sum(equal) < 40:
+            continue
+        sums = np.concatenate([[0], np.cumsum(np.array(equal) * 5 - 4)])
+        if any(sums[j] >= sums[: j - 49].min() for j in range(50, len(sums))):
+            return True
+    return False
+
+
+def test_fuzzy_passages_against_brute_force(spark):
+    r, rows, i = random.Random(8), [], 0
+    for n, share in itertools.product((52, 70, 100), (0.05, 0.1, 0.15, 0.2)):
+        for way in ("random", "even"):
+            passage = words(1000 + i, n)
+            step = round(1 / share)
+            changed = set(range(step - 1, n, step)) if way == "even" else set(r.sample(range(n), int(n * share)))
+            other = [f"new{i}x{j}" if j in changed else w for j, w in enumerate(passage)]
+            rows.append((2 * i, " ".join(words(2000 + i, 90) + passage + words(3000 + i, 70))))
+            rows.append((2 * i + 1, " ".join(words(4000 + i, 40) + other + words(5000 + i, 100))))
+            i += 1
+    want = {(b[0], a[0]) for a, b in zip(rows[::2], rows[1::2]) if _alike_in_place(a[1].split(), b[1].split())}
+    assert len(want) >= 20
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert want <= {(x.doc_id, x.ref_doc_id) for x in got}
+    texts = {k: t.split() for k, t in rows}
+    for x in got:
+        assert min(x.end_word - x.start_word, x.ref_end - x.ref_start) >= 50 and x.identity >= 0.8
+        if x.end_word - x.start_word == x.ref_end - x.ref_start:
+            a, b = texts[x.doc_id][x.start_word : x.end_word], texts[x.ref_doc_id][x.ref_start : x.ref_end]
+            assert sum(map(str.__eq__, a, b)) >= x.equal_words
+
+
 def test_chains_are_optimal():
     r = random.Random(3)
     for _ in range(20):

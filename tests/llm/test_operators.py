@@ -129,6 +129,22 @@ def test_fuzzy_passages_against_brute_force(spark):
             assert sum(map(str.__eq__, a, b)) >= x.equal_words
 
 
+def test_exact_passages_behind_truncated_copies(spark):
+    rows, i = [], 0
+    for n, heads in ((52, [45]), (60, [45]), (52, [40]), (70, [45, -45]), (50, [49, -49])):
+        passage = words(6000 + i, n)
+        parts = [passage[:h] if h > 0 else passage[h:] for h in heads]
+        # The parts stand in earlier and in later documents, so that they are the first and last holders of all short seeds.
+        for part in [*parts, passage, passage, *parts]:
+            rows.append((len(rows), " ".join(words(7000 + 2 * len(rows), 60) + part + words(7001 + 2 * len(rows), 60))))
+        i += 1
+    held = {k: {tuple(w[j : j + 50]) for j in range(len(w) - 49)} for k, t in rows for w in [t.split()]}
+    want = {(b, a) for a, b in itertools.combinations(held, 2) if held[a] & held[b]}
+    assert len(want) == 5
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert want <= {(r.doc_id, r.ref_doc_id) for r in got if r.identity == 1 and r.end_word - r.start_word >= 50}
+
+
 def test_chains_are_optimal():
     r = random.Random(3)
     for _ in range(20):

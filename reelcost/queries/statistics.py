@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.session import load
@@ -40,9 +43,9 @@ def _(spark, sf):
 
 @query("pls_scores_of_grade")
 def _(spark, sf):
-    df = reel_lines(spark, sf).filter(F.col("grade") == "Brand#3")
-    model = L.fit_pls(df, [*FEATS, "handling_cost"], "total_cost", 3)
-    return L.pls_scores(df, model, [*FEATS, "handling_cost"], 3).select(*KEYS, "pls_1", "pls_2", "pls_3")
+    df = reel_lines(spark, sf)
+    model = L.fit_pls(df, [*FEATS, "handling_cost"], "total_cost", 3, ["grade"])
+    return L.pls_scores(df, model, [*FEATS, "handling_cost"], 3, ["grade"]).select("grade", *KEYS, "pls_1", "pls_2", "pls_3")
 
 
 @query("pls_score_moments", with_reels("SELECT grade, count(*) AS n, 0.0::DOUBLE AS mean_1, 0.0::DOUBLE AS mean_2, 0.0::DOUBLE AS cross_12 FROM reels GROUP BY grade"))
@@ -166,32 +169,46 @@ def _(spark, sf):
     return rounded(out.select(*KEYS, "pred_steam", "pred_fibre", "pred_total"), "pred_steam", "pred_fibre", "pred_total")
 
 
-def small_slice(spark, sf):
-    return labelled(spark, sf).filter(F.col("grade") == "Brand#3")
+def grade_names(df):
+    return [r["grade"] for r in df.select("grade").distinct().orderBy("grade").collect()]
+
+
+def by_grade(df):
+    """Each grade with its rows."""
+    return [(g, df.filter(F.col("grade") == g)) for g in grade_names(df)]
 
 
 @query("mixture_with_min_size")
 def _(spark, sf):
-    out, k = CL.mixture_with_min_size(small_slice(spark, sf), ["qty", "tax_cost"], min_size=20, k_max=3)
-    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("total_cost").alias("total_cost"))
+    parts = []
+    for _, rows in by_grade(labelled(spark, sf)):
+        try:
+            out, _ = CL.mixture_with_min_size(rows, ["qty", "tax_cost"], min_size=20, k_max=3)
+        except ValueError:  # no mixture of this grade has clusters of that size: its rows stay without a cluster
+            out = rows.withColumn("cluster", F.lit(None).cast("int"))
+        parts.append(out.groupBy("grade", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("total_cost").alias("total_cost")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("mixture_selection_criteria")
 def _(spark, sf):
-    vectors = CL._for_training(small_slice(spark, sf), ["qty", "tax_cost"])
-    one = CL.single_gaussian_bic(vectors, ["qty", "tax_cost"])
-    rows = [(1, one, one, 1.0)]
-    for k in (2, 3):
-        bic, icl = CL.mixture_icl(CL.fit_mixture(vectors, k), vectors, 2)
-        rows.append((k, bic, icl, CL.cluster_stability(vectors, k, n_boot=3)))
-    vectors.unpersist()
-    return spark.createDataFrame(rows, "k int, bic double, icl double, stability double")
+    rows = []
+    for grade, own in by_grade(labelled(spark, sf)):
+        vectors = CL._for_training(own, ["qty", "tax_cost"])
+        one = CL.single_gaussian_bic(vectors, ["qty", "tax_cost"])
+        rows.append((grade, 1, one, one, 1.0))
+        for k in (2, 3):
+            bic, icl = CL.mixture_icl(CL.fit_mixture(vectors, k), vectors, 2)
+            rows.append((grade, k, bic, icl, CL.cluster_stability(vectors, k, n_boot=3)))
+        vectors.unpersist()
+    return spark.createDataFrame(rows, "grade string, k int, bic double, icl double, stability double")
 
 
 @query("operating_state_clusters")
 def _(spark, sf):
+    df = labelled(spark, sf)
     out = CL.cluster_by_period(
-        labelled(spark, sf), FEATS, "total_cost", ["Brand#3"], n_components=2, k_max=3, n_boot=2, min_cluster_size=10
+        df, FEATS, "total_cost", grade_names(df), n_components=2, k_max=3, n_boot=2, min_cluster_size=10
     )
     return out.groupBy("grade", "period", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("total_cost").alias("total_cost"))
 

@@ -2,7 +2,7 @@
 
 A weak part alone (an account name, an endpoint, a bare random token, a short key) is no secret.
 Parts are linked within scopes: a weak candidate is reported only if parts of other roles stand
-within SCOPE code points of it, which together with it make up a usable credential. The link is
+within SCOPE code points of it (from the end of the earlier part to the start of the later), which together with it make up a usable credential. The link is
 an interval join on (document, scope bucket); per bucket and role only the outermost positions
 take part, so a document full of parts does not multiply.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "identity", "material", "endpoint"]
 # Weak parts by role. A role is confirmed by the roles named beside it.
 IDENTITY = re.compile(r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII)
-MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])")
+MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 URL_REST = re.compile(r"""://[^\s"'<>]{3,}""")
 URL_SCHEME = re.compile(r"[a-z][a-z0-9+.-]{1,15}$")
 HOST = re.compile(r"""(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::[0-9]{2,5})?""", re.ASCII)
@@ -72,13 +73,14 @@ def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
 
 def confirmed(base: list[tuple[str, int, int]], weak: list[tuple[str, int, int]], scope: int = SCOPE) -> list[tuple[str, int, int]]:
     """The weak candidates of one text that have a complementary part within ``scope``."""
-    places = {k: sorted(s for kind, s, _ in base + weak if kind == k) for k in KINDS}
+    places = {k: sorted((s, e) for kind, s, e in base + weak if kind == k) for k in KINDS}
+    reach = {k: list(accumulate((e for _, e in v), max)) for k, v in places.items()}
 
-    def near(kind: str, at: int) -> bool:
-        i = bisect_left(places[kind], at - scope)
-        return i < len(places[kind]) and places[kind][i] <= at + scope
+    def near(kind: str, start: int, end: int) -> bool:
+        i = bisect_left(places[kind], (end + scope + 1,))
+        return i > 0 and reach[kind][i - 1] >= start - scope
 
-    return [w for w in weak if any(near(k, w[1]) for k in CONFIRMS[w[0]])]
+    return [w for w in weak if any(near(k, w[1], w[2]) for k in CONFIRMS[w[0]])]
 
 
 def _span_text(spans: Column) -> Column:
@@ -111,12 +113,14 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int =
     found = kept(source.mapInArrow(find, f"doc_id {id_type}, base {span}, weak {span}").withColumn("rid", F.monotonically_increasing_id()))
 
     parts = found.filter(F.size("weak") > 0).select("rid", F.explode(F.concat("base", "weak")).alias("p")).select("rid", "p.*")
-    bucket = F.floor(F.col("start") / scope)
-    ends = parts.groupBy("rid", bucket.alias("b"), "kind").agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    # What a candidate sees of its own and the neighbouring buckets; starts at most ``scope`` apart link.
-    seen = ends.select("rid", F.col("kind").alias("other"), "first", "last", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    weak = parts.filter(F.col("kind").isin(list(CONFIRMS))).withColumn("b", bucket)
-    near = (F.abs(F.col("first") - F.col("start")) <= scope) | (F.abs(F.col("last") - F.col("start")) <= scope)
+    # A part counts in every bucket that it reaches into, with its piece there; a candidate looks into all
+    # buckets of its own range widened by the scope, of which only the outer two are not all within it.
+    bucket = lambda at: F.floor(at / scope)
+    pieces = parts.withColumn("b", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))))
+    piece = F.greatest("start", F.col("b") * scope), F.least("end", (F.col("b") + 1) * scope)
+    seen = pieces.groupBy("rid", "b", F.col("kind").alias("other")).agg(F.min(piece[0]).alias("first"), F.max(piece[1]).alias("last"))
+    weak = parts.filter(F.col("kind").isin(list(CONFIRMS))).withColumn("b", F.explode(F.sequence(bucket(F.col("start") - scope), bucket(F.col("end") + scope))))
+    near = (F.col("last") >= F.col("start") - scope) & (F.col("first") <= F.col("end") + scope)
     fits = F.lit(False)
     for kind, others in CONFIRMS.items():
         fits = fits | ((F.col("kind") == kind) & F.col("other").isin(list(others)))
@@ -139,8 +143,7 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def redacted(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """All rows and columns of ``df`` with every reported span replaced by ``mark``; n_chars follows if present.
 
-    Spans are recomputed per text for confirmed kinds only, so the text itself is not shuffled: a
-    base span needs no partner, and a weak one is confirmed inside its own document.
+    Spans are the same as those of ``scan``, but found and confirmed text by text, so texts are not shuffled.
     """
 
     def clean(texts):

@@ -215,6 +215,27 @@ def test_credentials(docs, spark):
     assert texts[0] is None and texts[3] == "x" and "hunter22" not in texts[90] and texts[90].count("[secret]") == 3
 
 
+def test_long_credentials_and_gaps(spark):
+    key = "aB3" + "xY7z" * 22
+    gap = lambda n: "\n" + "-" * (n - 2) + "\n"
+    texts = [f"account: someone {key}==", f"https://h.example/{'p' * 400}" + gap(200) + key, f"https://h.example/{'p' * 400}" + gap(201) + key, key + gap(200) + "login: someone", key + gap(201) + "login: someone"]
+    r = random.Random(4)
+    for _ in range(30):
+        texts.append("".join(r.choice([key, key[:30], "login: someone", "https://h.example/" + "p" * r.randint(1, 500), "AKIA" + "A1B2" * 5]) + gap(r.randint(2, 450)) for _ in range(5)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: {tuple(s) for s in x.spans} for x in credentials.scan(rows).collect()}
+    masked = {x.doc_id: x.text for x in credentials.redacted(rows).collect()}
+    for i, t in enumerate(texts):
+        base = credentials.base_spans(t)
+        weak = credentials.weak_spans(t, base)
+        want = {w for w in weak if any(k in credentials.CONFIRMS[w[0]] and max(s - w[2], w[1] - e) <= 200 for k, s, e in base + weak)} | set(base)
+        assert got[i] == want, i
+        hidden = [any(s <= at < e for _, s, e in want) for at in range(len(t))]
+        assert "".join(c for c, h in zip(t, hidden) if not h) == masked[i].replace("[secret]", ""), i
+    kinds = [sorted(k for k, _, _ in got[i]) for i in range(5)]
+    assert [("material" in k) for k in kinds] == [True, True, False, True, False]
+
+
 def test_url_models(spark):
     rules = [urlmodel.Rule("allow", "org", "/"), urlmodel.Rule("block", "example.org", "/es/"), urlmodel.Rule("block", "com", "/de/")]
     urls = [f"https://a{i}.Example.ORG/good/{i}" for i in range(60)] + [f"http://x{i}.com/de/spam{i}" for i in range(60)]

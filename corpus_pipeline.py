@@ -51,7 +51,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_duplicates", exact_duplicates), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packed)]
 
-# Trained weights and a tokenizer library decide the rows; tests/llm compares with brute force.
+# Trained weights and a tokenizer library decide the rows; tests/llm compares operators with brute force, not the stages in a row.
 ORACLE_SQL = None
 
 

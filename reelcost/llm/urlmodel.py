@@ -3,9 +3,10 @@
 URLs that a rule decides are the training texts of an accepted and a rejected model. Both are
 variable-order Markov models over characters with Witten-Bell smoothing: p(c | context) mixes a
 context's own counts with the next shorter context, down to a uniform distribution. A URL's score is
-the log-likelihood difference divided by its length; the threshold is calibrated on held-out URLs.
+the log-likelihood difference divided by its length; the threshold is calibrated on held-out URLs,
+by a model of the others.
 
-Counts cover every ruled URL. Windows of ORDER + 1 characters are scored once each, by joins on
+Counts of the scoring model cover every ruled URL. Windows of ORDER + 1 characters are scored once each, by joins on
 their contexts, and joined back to the URLs; contexts of at most one character, which every window
 shares, are a bounded broadcast (one row per character).
 """
@@ -23,7 +24,7 @@ ORDER = 5
 START = "\x02"
 ALPHABET = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HELD_OUT = 5  # one in so many ruled URLs calibrates and is not counted
+HELD_OUT = 5  # one in so many ruled URLs calibrates and is not counted for that
 
 
 @dataclass(frozen=True)
@@ -132,13 +133,11 @@ def judged(df: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str
     rows = df.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"))
     rows = rows.select("*", host.alias("host"), path.alias("path")).withColumn("found", _ruled(rules))
     ruled = rows.filter("found is not null").select("url", (F.col("found.verdict") == "allow").alias("accepted")).withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0)
-    model = kept(_model(ruled.filter("not held").select("url", "accepted"), order))
-    open_ = rows.filter("found is null").select("url").distinct().withColumn("accepted", F.lit(None).cast("boolean"))
-    tuning = ruled.filter("held").select("url", "accepted").distinct()
-    every = kept(open_.union(tuning))
-    scores = kept(_scored(every.select("url"), model, order))
-    threshold = _threshold(scores.join(every.filter("accepted is not null"), "url"))
-    mine = scores.withColumnRenamed("score", "s")
+    tuning = kept(ruled.filter("held").select("url", "accepted").distinct())
+    calibrating = kept(_model(ruled.filter("not held").select("url", "accepted"), order))
+    threshold = _threshold(_scored(tuning.select("url"), calibrating, order).join(tuning, "url"))
+    model = kept(_model(ruled.select("url", "accepted"), order))
+    mine = kept(_scored(rows.filter("found is null").select("url").distinct(), model, order)).withColumnRenamed("score", "s")
     out = rows.join(mine, "url", "left")
     score = F.when(F.col("found").isNull(), F.coalesce("s", F.lit(0.0)))
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.coalesce("s", F.lit(0.0)) >= threshold, "allow").otherwise("block"))

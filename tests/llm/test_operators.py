@@ -236,6 +236,33 @@ def test_long_credentials_and_gaps(spark):
     assert [("material" in k) for k in kinds] == [True, True, False, True, False]
 
 
+def test_url_scores_from_all_ruled_urls(spark):
+    rules = [urlmodel.Rule("allow", "org", "/"), urlmodel.Rule("block", "com", "/")]
+    ruled = [f"https://o{i * i}.org/{chr(97 + i % 26)}{i}" for i in range(25)] + [f"https://c{i}.com/{chr(122 - i % 26)}x{i}" for i in range(25)]
+    free = [u.replace(".org", ".net").replace(".com", ".net") for u in ruled]
+    got = urlmodel.judged(spark.createDataFrame(list(enumerate(ruled + free)), "page_id long, url string"), rules).collect()
+    counts = {True: {}, False: {}}
+    for u in ruled:
+        s = "\x02" + u
+        for i in range(1, len(s)):
+            for k in range(min(i, 5) + 1):
+                c = counts[".org/" in u].setdefault(s[i - k : i], {})
+                c[s[i]] = c.get(s[i], 0) + 1
+
+    def p(side, ctx, c):
+        out = 1 / 256
+        for k in range(len(ctx) + 1):
+            own = counts[side].get(ctx[len(ctx) - k :])
+            out = (own.get(c, 0) + len(own) * out) / (sum(own.values()) + len(own)) if own else out
+        return out
+
+    for r in got:
+        if r.page_id >= len(ruled):
+            s = "\x02" + free[r.page_id - len(ruled)]
+            want = np.mean([np.log(p(True, s[max(0, i - 5) : i], s[i])) - np.log(p(False, s[max(0, i - 5) : i], s[i])) for i in range(1, len(s))])
+            assert abs(r.score - want) < 1e-9
+
+
 def test_url_models(spark):
     rules = [urlmodel.Rule("allow", "org", "/"), urlmodel.Rule("block", "example.org", "/es/"), urlmodel.Rule("block", "com", "/de/")]
     urls = [f"https://a{i}.Example.ORG/good/{i}" for i in range(60)] + [f"http://x{i}.com/de/spam{i}" for i in range(60)]

@@ -12,6 +12,7 @@ stretch of a task is coded once, with a bounded cache.
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 
@@ -21,71 +22,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CACHED_STRETCHES = 400_000
+# Words and stretches that a Python worker remembers, from task to task.
+CACHED_WORDS = 400_000
+CACHED_STRETCHES = 200_000
 # Longer stretches are coded each time they come, so the cache stays small.
 CACHED_BYTES = 256
 _NONE = 1 << 62
 
 
-class LowestPair:
-    """Segment tree over pair ranks; the root holds rank and place of the leftmost lowest one."""
-
-    def __init__(self, ranks: list[int | None]):
-        self.n = len(ranks)
-        leaves = [_NONE if r is None else r << 32 | i for i, r in enumerate(ranks)]
-        self.tree = [0] * self.n + leaves
-        for i in range(self.n - 1, 0, -1):
-            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
-
-    def put(self, place: int, rank: int | None) -> None:
-        tree, i = self.tree, place + self.n
-        tree[i] = _NONE if rank is None else rank << 32 | place
-        while i > 1:
-            i >>= 1
-            low = min(tree[2 * i], tree[2 * i + 1])
-            if tree[i] == low:
+def lowest_pairs(leaves: list[int]) -> list[int]:
+    """Segment tree over pairs, each ``rank << 32 | place`` or _NONE: node 1 holds the lowest, node i that of nodes 2i and 2i + 1."""
+    tree = [0] * len(leaves) + leaves
+    for i in range(len(leaves) - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    return tree
+
+
+def put(tree: list[int], *changes: tuple[int, int]) -> None:
+    """Replace pairs (place, leaf); nodes above change until one keeps its lowest."""
+    n = len(tree) >> 1
+    for place, leaf in changes:
+        i = place + n
+        tree[i] = leaf
+        i >>= 1
+        while i:
+            a, b = tree[2 * i], tree[2 * i + 1]
+            if b < a:
+                a = b
+            if tree[i] == a:
                 break
-            tree[i] = low
-
-    def lowest(self) -> int | None:
-        """Place of the pair to merge."""
-        root = self.tree[1]
-        return None if root == _NONE else root & 0xFFFFFFFF
+            tree[i] = a
+            i >>= 1
 
 
-def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Symbols after all merges; ``merges`` gives (rank, new symbol) of a pair."""
-    if len(symbols) < 2:
-        return symbols
-    rank = lambda a, b: (merges.get((symbols[a], symbols[b])) or (None,))[0]
+def merged(symbols: list[int], ranks: dict[tuple[int, int], int], made: list[int]) -> list[int]:
+    """Symbols after all merges; ``ranks`` has the rank of a pair, ``made`` the symbol that the merge of a rank makes."""
     n = len(symbols)
-    tree = LowestPair([rank(i, i + 1) for i in range(n - 1)])
+    if n < 2:
+        return symbols
+    rank = ranks.get
+    tree = lowest_pairs([_NONE if (r := rank(pair)) is None else r << 32 | i for i, pair in enumerate(zip(symbols, symbols[1:]))])
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (i := tree.lowest()) is not None:
-        j = after[i]
-        symbols[i], symbols[j] = merges[symbols[i], symbols[j]][1], -1
-        after[i] = after[j]
-        if j < n - 1:
-            tree.put(j, None)
-        if after[i] < n:
-            before[after[i]] = i
-        # The last symbol starts no pair; its leaf would be beyond the tree.
-        tree.put(i, rank(i, after[i]) if after[i] < n else None)
-        if before[i] >= 0:
-            tree.put(before[i], rank(before[i], i))
+    while (root := tree[1]) != _NONE:
+        i = root & 0xFFFFFFFF
+        j, new = after[i], made[root >> 32]
+        k, h = after[j], before[i]
+        symbols[i], symbols[j], after[i] = new, -1, k
+        own, r = _NONE, None
+        if k < n:
+            before[k] = i
+            if (r := rank((new, symbols[k]))) is not None:
+                own = r << 32 | i
+            if tree[j + n - 1] != _NONE:
+                put(tree, (j, _NONE))
+        if h >= 0 and ((r := rank((symbols[h], new))) is not None or tree[h + n - 1] != _NONE):
+            put(tree, (i, own), (h, _NONE if r is None else r << 32 | h))
+        else:
+            put(tree, (i, own))
     return [s for s in symbols if s >= 0]
 
 
+class Recent:
+    """Cache of at most twice ``size`` entries that loses the ones not asked for lately."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = max(1, size), {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
+def _ascii_split(spec: dict):
+    """Words of lower-case printable ASCII by the file's own pattern, where its steps are the ones known to agree there."""
+    steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+        return None
+    if cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]:
+        return None
+    return regex.compile(cuts[0]["pattern"]["Regex"]).findall
+
+
 class Coder:
     """Encodes stretches of text by the vocabulary file at ``path``."""
 
-    def __init__(self, path: str, cached: int = CACHED_STRETCHES):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS, cached_stretches: int = CACHED_STRETCHES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.vocab, self.end = model["vocab"], model["end_of_word_suffix"] or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [self.vocab[a + b] for a, b in pairs]
         self.piece = {i: t.encode() for t, i in self.vocab.items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.piece.update({i: t.encode() for t, i in special.items()})
@@ -93,22 +130,26 @@ class Coder:
         self.cuts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         library = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}))
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.cached, self.known, self.words = cached, {}, {}
+        self.ascii = _ascii_split(spec)
+        self.words, self.stretches = Recent(cached_words // 2), Recent(cached_stretches // 2)
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         found = self.words.get(word)
         if found is None:
-            found = merged([self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.end]], self.merges)
+            found = tuple(merged([self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.end]], self.ranks, self.made))
             if len(word) <= CACHED_BYTES:
-                self.words[word] = found
+                self.words.put(word, found)
         return found
 
     def ids(self, text: str) -> list[int]:
         """Ids of a text; strings of special tokens are these tokens."""
         out: list[int] = []
-        for part in self.cuts.split(text) if self.cuts else [text]:
+        for part in self.cuts.split(text) if any([t in text for t in self.special]) else [text]:
             if part in self.special:
                 out.append(self.special[part])
+            elif self.ascii and part.isascii() and part.isprintable():
+                for word in self.ascii(part.lower()):
+                    out += self.word(word)
             elif part:
                 for word, _ in self.split(self.normal(part)):
                     out += self.word(word)
@@ -116,19 +157,29 @@ class Coder:
 
     def stretch(self, raw: bytes) -> tuple[int, bytes, bytes]:
         """Number of ids, ids as little-endian integers, tokens joined by blanks."""
-        found = self.known.get(raw)
+        found = self.stretches.get(raw)
         if found is None:
             ids = self.ids(raw.decode())
             found = len(ids), struct.pack(f"<{len(ids)}I", *ids), b" ".join([self.piece[i] for i in ids])
             if len(raw) <= CACHED_BYTES:
-                if len(self.known) + len(self.words) > self.cached:
-                    self.known.clear()
-                    self.words.clear()
-                self.known[raw] = found
+                self.stretches.put(raw, found)
         return found
 
+    def text(self, raw: bytes) -> tuple[int, bytes, bytes]:
+        """As ``stretch``, for a whole text."""
+        codes = [self.stretches.new.get(s) or self.stretch(s) for s in raw.split()]
+        counts, ids, tokens = zip(*codes) if codes else ((), (), ())
+        return sum(counts), b"".join(ids), b" ".join(filter(None, tokens))
+
+
+@functools.lru_cache(maxsize=1)
+def _coder(path: str, cached_words: int, cached_stretches: int) -> Coder:
+    return Coder(path, cached_words, cached_stretches)
+
 
-def encode_decode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", cached: int = CACHED_STRETCHES) -> DataFrame:
+def encode_decode(
+    df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", cached_words: int = CACHED_WORDS, cached_stretches: int = CACHED_STRETCHES
+) -> DataFrame:
     """One row per row of ``df``: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded, both binary.
 
     Decoded text is what a vocabulary without a decoder gives: the ids' tokens, word ends included, joined by
@@ -137,14 +188,9 @@ def encode_decode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """
 
     def code(batches):
-        coder = Coder(path, cached)
+        coder = _coder(path, cached_words, cached_stretches)
         for batch in batches:
-            counts, ids, decoded = [], [], []
-            for t in batch.column(1).cast(pa.binary()):
-                codes = [coder.stretch(s) for s in (t.as_py() or b"").split()]
-                counts.append(sum([c[0] for c in codes]))
-                ids.append(b"".join([c[1] for c in codes]))
-                decoded.append(b" ".join([c[2] for c in codes if c[0]]))
+            counts, ids, decoded = zip(*[coder.text(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     id_type = df.schema[doc_id].dataType.simpleString()

@@ -92,15 +92,15 @@ def test_scores_near_and_beyond_a_long(spark):
 
 def test_segment_tree_gives_leftmost_lowest_pair():
     r = random.Random(3)
+    leaf = lambda x, i: wordbpe._NONE if x is None else x << 32 | i
     for n in (1, 2, 3, 7, 20):
         ranks = [r.choice([None, 1, 2, 3]) for _ in range(n)]
-        tree = wordbpe.LowestPair(ranks)
+        tree = wordbpe.lowest_pairs([leaf(x, i) for i, x in enumerate(ranks)])
         for _ in range(40):
-            have = [(x, i) for i, x in enumerate(ranks) if x is not None]
-            assert tree.lowest() == (min(have)[1] if have else None)
+            assert tree[1] == min(leaf(x, i) for i, x in enumerate(ranks))
             i = r.randrange(n)
             ranks[i] = r.choice([None, 0, 1, 5])
-            tree.put(i, ranks[i])
+            wordbpe.put(tree, (i, leaf(ranks[i], i)))
 
 
 def texts():
@@ -121,7 +121,7 @@ def test_word_bpe_equals_the_library(spark, cached):
     for i, t, *_ in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((i, len(ids), struct.pack(f"<{len(ids)}I", *ids), library.decode(ids, skip_special_tokens=False).encode()))
-    got = [(r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in wordbpe.encode_decode(df, WORDS, cached=cached).collect()]
+    got = [(r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in wordbpe.encode_decode(df, WORDS, cached_words=cached, cached_stretches=cached).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert wordbpe.encode_decode(df.limit(0), WORDS).count() == 0
 

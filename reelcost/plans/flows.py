@@ -60,7 +60,7 @@ def cost_drivers(
 ) -> CostDrivers:
     """Cluster both periods, compare the extreme clusters, attribute the change and rank the drivers."""
     rows = label_periods(df, ts, target, baseline).filter(F.col(grade).isin(list(grades)))
-    clustered = CL.cluster_by_period(rows, features, component, grades, grade, **cluster_options)
+    clustered = CL.cluster_by_period(rows, features, component, grade, **cluster_options)
     extremes = CL.extreme_clusters(clustered, component, grade)
     pairs = AT.mean_pairs(extremes, features, [grade])
     shares = AT.shapley_sampled(pairs, [grade], features, predict, permutations)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.session import load
 from ..operators import attribution as AT
 from ..operators import clusters as CL
 from ..operators import linear as L
+from ..operators import mixtures as MX
 from ..operators import timeseries as TS
 from ..operators.periods import BASELINE, TARGET
 from .base import events, labelled, query, reel_lines, rounded, with_labels, with_reels
@@ -169,47 +167,26 @@ def _(spark, sf):
     return rounded(out.select(*KEYS, "pred_steam", "pred_fibre", "pred_total"), "pred_steam", "pred_fibre", "pred_total")
 
 
-def grade_names(df):
-    return [r["grade"] for r in df.select("grade").distinct().orderBy("grade").collect()]
-
-
-def by_grade(df):
-    """Each grade with its rows."""
-    return [(g, df.filter(F.col("grade") == g)) for g in grade_names(df)]
+@query("mixture_with_min_size")
+def _(spark, sf):
+    out, _ = CL.mixture_with_min_size(labelled(spark, sf), ["qty", "tax_cost"], ["grade"], min_size=20, k_max=10)
+    return out.groupBy("grade", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("total_cost").alias("total_cost"))
 
 
-@query("mixture_with_min_size")
+@query("mixture_choice")
 def _(spark, sf):
-    parts = []
-    for _, rows in by_grade(labelled(spark, sf)):
-        try:
-            out, _ = CL.mixture_with_min_size(rows, ["qty", "tax_cost"], min_size=20, k_max=3)
-        except ValueError:  # no mixture of this grade has clusters of that size: its rows stay without a cluster
-            out = rows.withColumn("cluster", F.lit(None).cast("int"))
-        parts.append(out.groupBy("grade", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("total_cost").alias("total_cost")))
-    return functools.reduce(DataFrame.unionByName, parts)
+    return CL.mixture_with_min_size(labelled(spark, sf), ["qty", "tax_cost"], ["grade"], min_size=20, k_max=10)[1]
 
 
 @query("mixture_selection_criteria")
 def _(spark, sf):
-    rows = []
-    for grade, own in by_grade(labelled(spark, sf)):
-        vectors = CL._for_training(own, ["qty", "tax_cost"])
-        one = CL.single_gaussian_bic(vectors, ["qty", "tax_cost"])
-        rows.append((grade, 1, one, one, 1.0))
-        for k in (2, 3):
-            bic, icl = CL.mixture_icl(CL.fit_mixture(vectors, k), vectors, 2)
-            rows.append((grade, k, bic, icl, CL.cluster_stability(vectors, k, n_boot=3)))
-        vectors.unpersist()
-    return spark.createDataFrame(rows, "grade string, k int, bic double, icl double, stability double")
+    fits = MX.mixtures(labelled(spark, sf), ["qty", "tax_cost"], ["grade"], k_min=1, replicates=20)
+    return fits.select("grade", "k", "n", "bic", "icl", "stability", "min_size", "steps")
 
 
 @query("operating_state_clusters")
 def _(spark, sf):
-    df = labelled(spark, sf)
-    out = CL.cluster_by_period(
-        df, FEATS, "total_cost", grade_names(df), n_components=2, k_max=3, n_boot=2, min_cluster_size=10
-    )
+    out = CL.cluster_by_period(labelled(spark, sf), FEATS, "total_cost")
     return out.groupBy("grade", "period", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("total_cost").alias("total_cost"))
 
 

@@ -140,17 +140,16 @@ def test_sweep_keeps_rows_without_bounds(spark):
     assert all(got[i].feasible and got[i].control_best == got[i].low for i in (0, 1, 2))
 
 
-def test_cluster_queries_read_all_grades(spark, sf, monkeypatch):
+def test_cluster_queries_read_all_grades(spark, sf):
     queries = catalogue()[0]
     lines = {r["grade"]: r["count"] for r in base.reel_lines(spark, sf).groupBy("grade").count().collect()}
     assert len(lines) > 1
     assert {r["grade"]: r["count"] for r in queries["pls_scores_of_grade"](spark, sf).groupBy("grade").count().collect()} == lines
     rows = {r["grade"]: r["count"] for r in base.labelled(spark, sf).groupBy("grade").count().collect()}
-    # The fits themselves are left out here: what reaches them is counted.
-    monkeypatch.setattr(CL, "mixture_with_min_size", lambda df, *a, **b: (df.withColumn("cluster", F.lit(0)), 1))
-    monkeypatch.setattr(CL, "cluster_states", lambda df, *a, **b: df.withColumn("cluster", F.lit(0)))
     for name in ("mixture_with_min_size", "operating_state_clusters"):
         found = {}
         for r in queries[name](spark, sf).collect():
             found[r["grade"]] = found.get(r["grade"], 0) + r["n"]
         assert found == rows, name
+    criteria = queries["mixture_selection_criteria"](spark, sf)
+    assert {r["grade"] for r in criteria.select("grade").distinct().collect()} == set(rows) and criteria.agg(F.max("k")).first()[0] == 10

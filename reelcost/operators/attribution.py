@@ -252,6 +252,8 @@ def top_with_other(ranking: DataFrame, n: int, feature: str = "variable", by: Se
     return ranked.groupBy(*by, name.alias(feature), place.alias("place")).agg(F.sum("mean_abs_shap").alias("mean_abs_shap"))
 
 
-def top_driver_variables(diagnostics: DataFrame, n: int = 7, order: str = "priority_score") -> DataFrame:
-    """Names of the strongest drivers by priority, signed or absolute contribution."""
+def top_driver_variables(diagnostics: DataFrame, n: int = 7, order: str = "priority_score", by: Sequence[str] = ()) -> DataFrame:
+    """Names of the strongest drivers, per slice of ``by``, by priority, signed or absolute contribution."""
+    if by:
+        return top_rows(diagnostics, list(by), [F.desc(order), F.col("variable")], n).select(*by, "variable")
     return diagnostics.orderBy(F.desc(order), "variable").limit(n).select("variable")

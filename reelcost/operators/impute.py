@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..core.ordered import bounded_frames, neighbours
+from ..core.ordered import bounded_frames, neighbours, row_index
+from ..core.orderstats import Windows, median_deviations, medians
 from ..core.quantiles import group_medians, group_quantiles
 from ..core.sizing import join_stats
 from ..functions.expr import truthy
@@ -72,33 +77,44 @@ def flag_percentile_clip(df: DataFrame, c: str, share: float = 0.01, by: Sequenc
     return flag_outside_quantiles(df, c, share, 1 - share, 0.0, by, out)
 
 
-def _list_median(values: Column) -> Column:
-    s = F.array_sort(values)
-    n = F.size(s)
-    lo, hi = F.floor((n - 1) / 2).cast("int"), F.ceil((n - 1) / 2).cast("int")
-    return (F.get(s, lo) + F.get(s, hi)) / 2
-
-
 def flag_rolling_robust_z(
     df: DataFrame, c: str, window: int, part: Sequence[str], order: Sequence[str], threshold: float = 3.5,
-    out: str = "outlier", blocks: int | None = None,
+    out: str = "outlier", blocks: int | None = None, block_rows: int = 100_000,
 ) -> DataFrame:
-    """Robust z against the median and MAD of the trailing ``window`` rows; unset until the window is full."""
-
-    def exprs(w):
-        frame = w.rowsBetween(-window + 1, 0)
-        full = F.count(c).over(frame) == window
-        return {"__vals": F.when(full, F.collect_list(F.col(c)).over(frame))}
-
-    got = bounded_frames(df, part, order, window - 1, 0, exprs, blocks)
-    med = _list_median(F.col("__vals"))
-    got = got.withColumn("__med", med)
-    mad = _list_median(F.transform("__vals", lambda v: F.abs(v - F.col("__med"))))
-    # A MAD of zero under a non-zero deviation is an infinite score.
-    dev = F.abs(F.col(c) - F.col("__med"))
-    z = 0.6745 * dev
-    test = F.when(mad > 0, z / mad > threshold).otherwise(dev > 0)
-    return got.withColumn(out, truthy(test)).drop("__vals", "__med")
+    """Robust z against the median and MAD of the trailing ``window`` rows; unset until the window is full of values.
+
+    Rows are cut into blocks along ``order``, each with the ``window`` - 1 rows before it, and one order-statistic
+    structure per block answers all windows. A MAD of zero under a non-zero deviation is an infinite score.
+    """
+
+    columns = df.columns
+
+    def flags(values: np.ndarray) -> np.ndarray:
+        n = len(values)
+        found = np.zeros(n, dtype=bool)
+        gaps = np.concatenate([[0], np.cumsum(np.isnan(values))])
+        high = np.arange(window, n + 1)
+        high = high[gaps[high] == gaps[high - window]]
+        if len(high):
+            stats, low = Windows(values), high - window
+            med = medians(stats, low, high)
+            dev, mad = np.abs(values[high - 1] - med), median_deviations(stats, low, high, med)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found[high - 1] = np.where(mad > 0, 0.6745 * dev / mad > threshold, dev > 0)
+        return found
+
+    def judge(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("__rn")
+        # Missing values are NULL here; a NaN counts as missing too.
+        values = np.asarray(rows.column("__v").to_numpy(zero_copy_only=False), dtype=float)
+        own = pc.equal(rows.column("__at"), rows.column("__own"))
+        return rows.append_column(out, pa.array(flags(values))).filter(own).select([*columns, out])
+
+    numbered = row_index(df, part, order, "__rn", blocks)
+    own = F.floor((F.col("__rn") - 1) / max(block_rows, window))
+    ahead = F.floor((F.col("__rn") - 1 + window - 1) / max(block_rows, window))
+    dealt = numbered.withColumns({"__v": F.col(c).cast("double"), "__own": own, "__to": ahead}).withColumn("__at", F.explode(F.sequence("__own", "__to"))).drop("__to")
+    return dealt.groupBy(*part, "__at").applyInArrow(judge, T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())]))
 
 
 def flag_hampel(

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..core.ordered import bounded_frames, row_index, running_sums, time_frames
+from ..core.ordered import bounded_frames, row_index, running_sums
+from ..core.orderstats import Windows
 from ..core.sizing import block_count, join_stats
 from ..functions.expr import truthy
 
@@ -120,41 +124,38 @@ def time_folds(df: DataFrame, order: Sequence[str], folds: int = 5, out: str = "
 
 
 def rolling_stats(
-    df: DataFrame, group: str, ts: str, col: str, window_seconds: int, tail: float = 0.025, blocks: int | None = None
+    df: DataFrame, group: str, ts: str, col: str, window_seconds: int, tail: float = 0.025
 ) -> DataFrame:
     """Trailing time-window mean, deviation, median and tail quantiles per group and time.
 
-    Equal (group, time, value) rows are counted first; every frame then works on the counts.
+    Equal (group, time, value) rows are counted first. Times are cut into slices of the window's width; a slice and
+    the one before it hold all windows that end in it, and one order-statistic structure answers them all.
     """
-    counted = df.filter(F.col(col).isNotNull()).groupBy(group, ts, F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    center = df.groupBy(group).agg(F.avg(col).alias("__c"))
-    rows = join_stats(counted, center, [group], null_safe=True).withColumn("__d", F.col("__v") - F.col("__c"))
-
-    def exprs(w):
-        pct = lambda p: F.percentile(F.col("__v"), F.lit(p), F.col("__n")).over(w)
-        return {
-            "__cnt": F.sum("__n").over(w),
-            "__s": F.sum(F.col("__d") * F.col("__n")).over(w),
-            "__q": F.sum(F.col("__d") * F.col("__d") * F.col("__n")).over(w),
-            "median": pct(0.5),
-            "p_low": pct(tail),
-            "p_high": pct(1 - tail),
-        }
-
-    got = time_frames(rows, [group], ts, window_seconds, exprs, blocks or block_count(df))
-    var = F.try_divide(F.col("__q") - F.col("__s") * F.col("__s") / F.col("__cnt"), F.col("__cnt") - 1)
-    out = got.select(
-        group,
-        ts,
-        F.col("__cnt").alias("n"),
-        (F.col("__c") + F.col("__s") / F.col("__cnt")).alias("mean"),
-        F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"),
-        "median",
-        "p_low",
-        "p_high",
-    )
-    # All values of one time share a frame; keep one row per time.
-    return out.groupBy(group, ts).agg(*[F.first(c).alias(c) for c in ("n", "mean", "std", "median", "p_low", "p_high")])
+    counted = df.filter(F.col(col).isNotNull() & F.col(ts).isNotNull()).groupBy(group, ts, F.col(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    width = window_seconds * 1_000_000
+    timed = counted.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__own", F.floor(F.col("__t") / width))
+    dealt = timed.withColumn("__at", F.explode(F.array("__own", F.col("__own") + 1)))
+    names = ["n", "mean", "std", "median", "p_low", "p_high"]
+
+    def stats(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("__t", "ascending"), ("__v", "ascending")])
+        t, v, n, own = (rows.column(c).to_numpy() for c in ("__t", "__v", "__n", "__own"))
+        # One result per time: its last row's window.
+        last = np.flatnonzero((np.append(t[1:] != t[:-1], True)) & (own == rows.column("__at").to_numpy()))
+        high, low = last + 1, np.searchsorted(t, t[last] - width, side="right")
+        center = v.mean() if len(v) else 0.0
+        d = (v - center).astype(np.longdouble)
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (n, d * n, d * d * n)]
+        count, s, q = (x[high] - x[low] for x in sums)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            var = np.maximum(q - s * s / count, 0) / (count - 1)
+        std = pa.array(np.sqrt(var.astype(float)), mask=count < 2)
+        w = Windows(v, n)
+        found = [pa.array(count), pa.array((center + s / count).astype(float)), std, *[pa.array(w.quantile(low, high, p)) for p in (0.5, tail, 1 - tail)]]
+        return pa.table([*[rows.column(c).take(pa.array(last)) for c in (group, ts)], *found], names=[group, ts, *names])
+
+    shape = T.StructType([df.schema[group], df.schema[ts], *[T.StructField(x, T.LongType() if x == "n" else T.DoubleType()) for x in names]])
+    return dealt.groupBy(group, "__at").applyInArrow(stats, shape)
 
 
 def first_differences(df: DataFrame, cols: Sequence[str], part: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:

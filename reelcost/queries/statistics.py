@@ -210,21 +210,21 @@ def _(spark, sf):
     return rounded(out, "total_cost", "unknown")
 
 
-_ACC = f"""{_CLU}, l AS (SELECT cluster, unnest(['qty', 'tax_cost']) AS property, unnest([qty, tax_cost]) AS v FROM cl WHERE grade = 'Brand#3'),
- lim AS (SELECT 'qty' AS property, min(p_size) + 3.0 AS mn FROM part WHERE p_brand = 'Brand#3' UNION ALL SELECT 'tax_cost', 0.0 FROM part WHERE p_brand = 'Brand#3' GROUP BY 1),
- a AS (SELECT cluster, property, round(quantile_cont(v, 0.1), 2) AS percentile, count(v) AS count FROM l GROUP BY ALL)"""
+_ACC = f"""{_CLU}, l AS (SELECT grade, cluster, unnest(['qty', 'tax_cost']) AS property, unnest([qty, tax_cost]) AS v FROM cl),
+ lim AS (SELECT p_brand AS grade, 'qty' AS property, CAST(min(p_size) + 3.0 AS DOUBLE) AS mn FROM part GROUP BY 1 UNION ALL SELECT p_brand, 'tax_cost', CAST(0 AS DOUBLE) FROM part GROUP BY 1),
+ a AS (SELECT grade, cluster, property, round(quantile_cont(v, 0.1), 2) AS percentile, count(v) AS count FROM l GROUP BY ALL)"""
 
 
 def _acceptable(spark, sf):
-    part = load(spark, sf, "part").filter(F.col("p_brand") == "Brand#3").agg((F.min("p_size") + 3.0).alias("qty"), F.lit(0.0).alias("tax_cost"))
-    limits = part.unpivot([], ["qty", "tax_cost"], "property", "min")
-    df = clustered(spark, sf).filter(F.col("grade") == "Brand#3")
-    return df, CL.acceptable_clusters(df, limits, ["qty", "tax_cost"], 90)
+    part = load(spark, sf, "part").groupBy(F.col("p_brand").alias("grade")).agg((F.min("p_size") + 3.0).alias("qty"), F.lit(0.0).alias("tax_cost"))
+    limits = part.unpivot(["grade"], ["qty", "tax_cost"], "property", "min")
+    df = clustered(spark, sf)
+    return df, CL.acceptable_clusters(df, limits, ["qty", "tax_cost"], 90, by=["grade"])
 
 
 @query(
     "acceptable_clusters",
-    with_labels(f""", {_ACC} SELECT cluster, property, percentile, count, mn AS min, percentile >= mn AS valid, min(CAST(percentile >= mn AND count > 1 AS INT)) OVER (PARTITION BY cluster) = 1 AS acceptable FROM a JOIN lim USING (property)"""),
+    with_labels(f""", {_ACC} SELECT grade, cluster, property, percentile, count, mn AS min, percentile >= mn AS valid, min(CAST(percentile >= mn AND count > 1 AS INT)) OVER (PARTITION BY grade, cluster) = 1 AS acceptable FROM a JOIN lim USING (grade, property)"""),
 )
 def _(spark, sf):
     return _acceptable(spark, sf)[1]
@@ -232,12 +232,13 @@ def _(spark, sf):
 
 @query(
     "best_cluster",
-    with_labels(f""", {_ACC}, ok AS (SELECT cluster FROM a JOIN lim USING (property) GROUP BY cluster HAVING min(CAST(percentile >= mn AS INT)) = 1)
- SELECT cluster, round(median(total_cost), 6) AS median_cost FROM cl WHERE grade = 'Brand#3' AND cluster IN (SELECT cluster FROM ok) GROUP BY cluster ORDER BY 2, 1 LIMIT 1"""),
+    with_labels(f""", {_ACC}, ok AS (SELECT grade, cluster FROM a JOIN lim USING (grade, property) GROUP BY ALL HAVING min(CAST(percentile >= mn AND count > 1 AS INT)) = 1)
+, md AS (SELECT grade, cluster, median(total_cost) AS m FROM cl JOIN ok USING (grade, cluster) GROUP BY ALL)
+ SELECT grade, cluster, round(m, 6) AS median_cost FROM md QUALIFY row_number() OVER (PARTITION BY grade ORDER BY m, cluster) = 1"""),
 )
 def _(spark, sf):
     df, acc = _acceptable(spark, sf)
-    return rounded(CL.best_cluster(df, "total_cost", acc.filter("acceptable")), "median_cost")
+    return rounded(CL.best_cluster(df, "total_cost", acc.filter("acceptable"), by=["grade"]), "median_cost")
 
 
 _KS = """u AS (SELECT grade, {v} AS v, count(*) FILTER (period = 'historic') AS a, count(*) FILTER (period = 'current') AS b FROM labelled GROUP BY ALL),
@@ -360,11 +361,10 @@ def _(spark, sf):
 
 @query(
     "top_driver_variables",
-    with_labels(f", {_REL} SELECT variable FROM (SELECT variable, abs_contribution * least(delta_over_std, 1) * least(delta_over_range, 1) AS s FROM rl WHERE grade = 'Brand#3') ORDER BY s DESC, variable LIMIT 2"),
+    with_labels(f", {_REL} SELECT grade, variable FROM rl QUALIFY row_number() OVER (PARTITION BY grade ORDER BY abs_contribution * least(coalesce(delta_over_std, 0), 1) * least(coalesce(delta_over_range, 0), 1) DESC, variable) <= 2"),
 )
 def _(spark, sf):
-    one = _relevance(spark, sf).filter(F.col("grade") == "Brand#3")
-    return AT.top_driver_variables(AT.priority_score(one), 2)
+    return AT.top_driver_variables(AT.priority_score(_relevance(spark, sf)), 2, by=["grade"])
 
 
 COEFS = {"qty": 1.5, "tax_cost": -0.2}

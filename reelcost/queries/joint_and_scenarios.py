@@ -69,7 +69,7 @@ def _(spark, sf):
 @query("conditional_summaries")
 def _(spark, sf):
     df = joint_rows(spark, sf)
-    return JT.conditional_summary(df, JT.fit_joint(df, VARS, min_rows=50), ["qty"], ["grammage", "handling_cost"], KEYS, points=20)
+    return JT.conditional_summary(df, JT.fit_joint(df, VARS, min_rows=50), ["qty"], ["grammage", "handling_cost"], KEYS)
 
 
 @query("conditional_joint_draws")
@@ -82,18 +82,18 @@ def _(spark, sf):
 @query("conditional_ranges")
 def _(spark, sf):
     m = joint_model(spark, sf)
-    return JT.conditional_bounds(joint_rows(spark, sf), m, "qty", step=0.1).select(*KEYS, "qty_low", "qty_high", "qty_mode")
+    return JT.conditional_bounds(joint_rows(spark, sf), m, "qty").select(*KEYS, "qty_low", "qty_high", "qty_mode")
 
 
 @query("t_copula_fit")
 def _(spark, sf):
-    return JT.fit_t_copula(joint_rows(spark, sf), VARS, nu_grid=(3, 10, 50), min_rows=50)[1]
+    return JT.fit_t_copula(joint_rows(spark, sf), VARS, min_rows=50)[1]
 
 
 @query("t_copula_conditional_quantiles")
 def _(spark, sf):
     df = joint_rows(spark, sf)
-    m, _ = JT.fit_t_copula(df, VARS, nu_grid=(5, 50), min_rows=50)
+    m, _ = JT.fit_t_copula(df, VARS, min_rows=50)
     return JT.t_conditional_quantiles(df, m, "qty", ["grammage", "handling_cost"]).select(*KEYS, "q05", "q50", "q95")
 
 
@@ -170,7 +170,7 @@ def _(spark, sf):
     df = joint_rows(spark, sf)
     m = JT.fit_joint(df, VARS, min_rows=50)
     todo = [SC.Change("qty", "relative", 0.5), SC.Change("handling_cost", "delta", 1.0)]
-    out = SC.calibrate(df, m, todo, step=0.1)
+    out = SC.calibrate(df, m, todo)
     return out.select(*KEYS, "qty", "qty_requested", "qty_low", "qty_high", "qty_clipped", "handling_cost", "handling_cost_clipped")
 
 
@@ -182,20 +182,20 @@ def strength(g):
 def _(spark, sf):
     df = joint_rows(spark, sf)
     m = JT.fit_joint(df, VARS, min_rows=50)
-    return SC.sweep_control(df, m, "qty", KEYS, lambda g: 3 * g("qty"), strength, 25.0, steps=20, likelihood_weight=1e-5, step=0.1)
+    return SC.sweep_control(df, m, "qty", KEYS, lambda g: 3 * g("qty"), strength, 25.0, likelihood_weight=1e-5)
 
 
 @query("controls_swept_in_turn")
 def _(spark, sf):
     df = joint_rows(spark, sf)
     m = JT.fit_joint(df, VARS, min_rows=50)
-    return SC.sweep_controls_in_turn(df, m, ["qty", "handling_cost"], KEYS, lambda g: 3 * g("qty") + g("handling_cost"), strength, 25.0, steps=20, step=0.1)
+    return SC.sweep_controls_in_turn(df, m, ["qty", "handling_cost"], KEYS, lambda g: 3 * g("qty") + g("handling_cost"), strength, 25.0)
 
 
 @query("control_response_curve")
 def _(spark, sf):
     df = joint_rows(spark, sf)
-    out = SC.response_curve(df, JT.fit_joint(df, VARS, min_rows=50), "qty", KEYS, lambda g: 3 * g("qty"), strength, steps=20, step=0.1)
+    out = SC.response_curve(df, JT.fit_joint(df, VARS, min_rows=50), "qty", KEYS, lambda g: 3 * g("qty"), strength)
     return out.groupBy("step").agg(F.avg("qty").alias("qty"), F.avg("cost").alias("cost"), F.avg("strength").alias("strength"))
 
 

@@ -120,7 +120,7 @@ def test_conditional_bounds_match_brute_force(spark, data, model):
 def test_many_grades_use_the_joined_grid(data, model, monkeypatch):
     rows = data[1].filter("id < 6")
     one = JT.conditional_bounds(rows, model, "y").orderBy("id").collect()
-    monkeypatch.setattr(JT, "CURVE_GRADES", 1)
+    monkeypatch.setattr(JT, "TABLE_CELLS", 1)
     assert JT.conditional_bounds(rows, model, "y").orderBy("id").collect() == one
 
 

@@ -14,8 +14,7 @@ Anchors, the stated query set, are copied once to every shard; shard rows move o
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -24,12 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept
+from .shards import EXACT, SCALE, every_shard, integers, long_columns, meet, numbers, vector_rows
 
 SHARD_ROWS = 16_384
 # Dimensions that are read between two looks at the bounds.
 STEP = 8
-SCALE = 256
-_EXACT = 2.0**53
 
 
 class Cut(NamedTuple):
@@ -39,16 +37,11 @@ class Cut(NamedTuple):
     high: int = 95
 
 
-def integers(vectors: np.ndarray) -> np.ndarray:
-    """floor(SCALE * x) as Python integers, exact for every finite x."""
-    flat = [int(x) * SCALE if abs(x) > 2.0**52 else math.floor(SCALE * x) for x in vectors.ravel().tolist()]
-    return np.array([*flat, None], dtype=object)[:-1].reshape(vectors.shape)
-
-
 class Columns:
     """One shard: an array per dimension, rows ordered by label, with minima and maxima by label."""
 
-    def __init__(self, labels: np.ndarray, ids: np.ndarray, rids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, rows: dict[str, np.ndarray]):
+        labels, ids, rids, vectors = (rows[c] for c in ("label", "id", "rid", "v"))
         order = np.lexsort((rids, labels))
         self.raw, self.ids, self.rids = vectors[order], ids[order], rids[order]
         self.labels, starts = np.unique(labels[order], return_index=True)
@@ -66,7 +59,7 @@ class Columns:
         """Columns and query in doubles when no sum can leave the integers that these hold, else in Python integers."""
         with np.errstate(over="ignore", invalid="ignore"):
             query = np.floor(SCALE * raw)
-            if np.abs(query) @ self.largest < _EXACT:
+            if np.abs(query) @ self.largest < EXACT:
                 return self, query
         if self._exact is None:
             self._exact = Columns.__new__(Columns)
@@ -147,51 +140,6 @@ def first(ids: np.ndarray, rids: np.ndarray, scores: np.ndarray, k: int) -> list
     return [(-s, i, r) for s, i, r in found]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.RecordBatch]]:
-    """Stretches of rows of one (shard, dim, kind)."""
-    for b in batches:
-        keys = [np.asarray(b.column(n)) for n in ("shard", "dim", "kind")]
-        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if b.num_rows else []
-        cuts = [0, *change, b.num_rows]
-        for x, y in zip(cuts, cuts[1:]):
-            if y > x:
-                yield tuple(int(k[x]) for k in keys), b.slice(x, y - x)
-
-
-def _numbers(b: pa.RecordBatch, name: str) -> np.ndarray:
-    return np.asarray(b.column(name))
-
-
-def _matrix(b: pa.RecordBatch, dim: int) -> np.ndarray:
-    return np.asarray(b.column("v").flatten(), dtype=np.float64).reshape(b.num_rows, dim)
-
-
-def _meet(shards: DataFrame, anchors: DataFrame, n_shards: int, answer: Callable, shape: str) -> DataFrame:
-    """``answer(columns, anchors' batch, their vectors)`` gives the result rows of each shard and stretch of anchors."""
-    extra = [c for c in anchors.columns if c not in shards.columns]
-    at = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard")
-    mine = shards.select("shard", F.lit(0).alias("kind"), "dim", "rid", "id", "label", "v", *[F.lit(None).cast(anchors.schema[c].dataType).alias(c) for c in extra])
-    theirs = anchors.select(at, F.lit(1).alias("kind"), "dim", "rid", "id", "label", "v", *extra)
-    dealt = mine.union(theirs).repartition("shard").sortWithinPartitions("shard", "dim", "kind", "rid")
-
-    def visit(batches):
-        rows, key, columns = [], None, None
-        for (shard, dim, kind), b in _runs(batches):
-            if key != (shard, dim):
-                rows, key, columns = [], (shard, dim), None
-            if kind == 0:
-                rows.append((_numbers(b, "label"), _numbers(b, "id"), _numbers(b, "rid"), _matrix(b, dim)))
-            elif rows:
-                columns = columns or Columns(*map(np.concatenate, zip(*rows)))
-                yield answer(columns, b, _matrix(b, dim))
-
-    return dealt.mapInArrow(visit, shape)
-
-
-def _batch(columns: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in columns.items()})
-
-
 def _best(found: DataFrame, by: list[str], k: int, id_: str, row: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc("score"), id_, row)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -211,16 +159,15 @@ def hard_negatives(
     its own row only. An empty table gives no rows. Scores are exact; one beyond a 64-bit integer among
     the results is an error.
     """
-    raw = df.select(F.col(vec_id).cast("long").alias("id"), (F.col(label) if relabel is None else relabel).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    rows = kept(raw.filter(fine).select("*", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("rid")))
+    taking_part = vector_rows(df, vec_id, vector, label=(F.col(label) if relabel is None else relabel).cast("long"))
+    rows = kept(taking_part.withColumn("rid", F.monotonically_increasing_id()))
     n_shards = max(1, -(-rows.count() // shard_rows))
     shards = rows.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(n_shards)).cast("int"))
     anchors = rows.filter(F.col("id") % every == 0)
 
     def nearest(columns: Columns, b: pa.RecordBatch, vectors: np.ndarray) -> pa.RecordBatch:
         out = {"anchor": [], "positive_id": [], "positive": [], "score": []}
-        for rid, own, raw_query in zip(_numbers(b, "rid").tolist(), _numbers(b, "label").tolist(), vectors):
+        for rid, own, raw_query in zip(numbers(b, "rid").tolist(), numbers(b, "label").tolist(), vectors):
             rows_ = columns.of_label(own)
             rows_ = rows_[columns.rids[rows_] != rid]
             if len(rows_):
@@ -229,9 +176,9 @@ def hard_negatives(
                 for score, i, r in first(at.ids[left], at.rids[left], scores, positives):
                     for name, x in zip(out, (rid, i, r, score)):
                         out[name].append(x)
-        return _batch(out)
+        return long_columns(out)
 
-    near = _meet(shards, anchors, n_shards, nearest, "anchor long, positive_id long, positive long, score long")
+    near = meet(shards, anchors, every_shard(n_shards), Columns, nearest, "anchor long, positive_id long, positive long, score long")
     chosen = kept(_best(near, ["anchor"], positives, "positive_id", "positive"))
     # At most ``positives`` windows an anchor, in the order of their ranks.
     wanted = chosen.groupBy(F.col("anchor").alias("rid")).agg(F.sort_array(F.collect_list(F.struct("rank", "score"))).alias("windows"))
@@ -239,7 +186,7 @@ def hard_negatives(
 
     def inside(columns: Columns, b: pa.RecordBatch, vectors: np.ndarray) -> pa.RecordBatch:
         out = {"anchor": [], "place": [], "negative_id": [], "negative": [], "score": []}
-        for rid, own, ranks, scores, raw_query in zip(_numbers(b, "rid").tolist(), _numbers(b, "label").tolist(), b.column("ranks").to_pylist(), b.column("scores").to_pylist(), vectors):
+        for rid, own, ranks, scores, raw_query in zip(numbers(b, "rid").tolist(), numbers(b, "label").tolist(), b.column("ranks").to_pylist(), b.column("scores").to_pylist(), vectors):
             windows = [(rank, *window_of(s, cut)) for rank, s in zip(ranks, scores)]
             windows = [w for w in windows if w[1] <= w[2]]
             other = np.flatnonzero(columns.labels != own)
@@ -253,9 +200,9 @@ def hard_negatives(
                     for score, i, r in first(at.ids[left[ok]], at.rids[left[ok]], found[ok], negatives):
                         for name, x in zip(out, (rid, rank, i, r, score)):
                             out[name].append(x)
-        return _batch(out)
+        return long_columns(out)
 
-    met = _meet(shards, asking, n_shards, inside, "anchor long, place long, negative_id long, negative long, score long")
+    met = meet(shards, asking, every_shard(n_shards), Columns, inside, "anchor long, place long, negative_id long, negative long, score long")
     ranked = _best(met, ["anchor", "place"], negatives, "negative_id", "negative").withColumnRenamed("score", "negative_score")
     pairs = chosen.select("anchor", "positive_id", F.col("rank").cast("long").alias("place"), F.col("score").alias("positive_score"))
     names = anchors.select(F.col("rid").alias("anchor"), F.col("id").alias("anchor_id"))

@@ -1,10 +1,11 @@
 """Exact top-k by inner product: one KD-tree per shard, searched best first.
 
-Rows are dealt into shards of bounded size and packed into arrays. In a shard, median splits of the
-widest dimension end in leaves with tight bounding boxes. The largest inner product that a query can
-have in a box bounds a subtree; subtrees are visited best bound first until the bound falls below the
-k-th score. That k-th score travels: a first pass searches each block of queries in one shard and its
-k-th scores start the second pass over all other shards. Scores are integers, so results are exact.
+Rows are dealt into shards of bounded size. In a shard, median splits of the widest dimension end in
+leaves with tight bounding boxes. The largest inner product that a query can have in a box bounds a
+subtree; subtrees are visited best bound first until the bound falls below the k-th score. That k-th
+score travels: a first pass searches each query in one shard and its k-th scores start the second pass
+over all other shards. A shard's rows move once a pass and the queries stream past them. Scores are
+integers: in doubles where these hold every sum, in Python integers elsewhere, so results are exact.
 """
 
 from __future__ import annotations
@@ -12,17 +13,17 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept
+from .shards import EXACT, SCALE, every_shard, integers, long_columns, meet, numbers, vector_rows
 
-SHARD_ROWS = 4096
-BLOCK_QUERIES = 512
+SHARD_ROWS = 16_384
 LEAF_ROWS = 64
-_EXACT = 2.0**53
+# Relative room that a bound gets for the rounding of doubles.
+SLACK = 1e-9
 
 
 class Tree:
@@ -58,13 +59,34 @@ class Tree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
 
-def search(tree: Tree, ids: np.ndarray, rids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> list[list[tuple[float, int]]]:
-    """Best (score, -id) of each query in a tree, no worse than ``floor``; row ``own`` is left out."""
-    bounds = tree.bounds(queries)
-    ids, rids, out = ids[tree.order], rids[tree.order], []
+class Shard:
+    """Tree over a shard's integer vectors; sums that doubles can't hold are taken over Python integers."""
+
+    def __init__(self, rows: dict[str, np.ndarray]):
+        with np.errstate(over="ignore"):
+            points = np.floor(SCALE * rows["v"])
+        self.tree = Tree(np.clip(points, -1e300, 1e300))
+        order = self.tree.order
+        self.ids, self.rids, self.raw = rows["id"][order], rows["rid"][order], rows["v"][order]
+        self.largest = np.abs(points).max(axis=0) if len(points) else np.zeros(points.shape[1])
+
+    def scores(self, a: int, b: int, raw: np.ndarray, query: np.ndarray, small: bool) -> np.ndarray:
+        return self.tree.points[a:b] @ query if small else integers(self.raw[a:b]) @ integers(raw)
+
+
+def search(shard: Shard, raw: np.ndarray, own: np.ndarray, k: int, floor: list) -> list[list[tuple[int, int]]]:
+    """Best (score, -id) of each query in a shard, no worse than ``floor``; row ``own`` is left out."""
+    tree, out = shard.tree, []
+    with np.errstate(over="ignore", invalid="ignore"):
+        queries = np.floor(SCALE * raw)
+        size = np.abs(queries) @ shard.largest
+        bounds = tree.bounds(np.clip(queries, -1e300, 1e300))
     for q in range(len(queries)):
-        best: list[tuple[float, int]] = []  # heap, worst first
-        kth, bound = floor[q], bounds[q]
+        small = bool(size[q] < EXACT)
+        # An upper end that overflows or isn't a number prunes nothing.
+        bound = bounds[q] if small else np.where(np.isfinite(bounds[q]) & np.isfinite(size[q]), bounds[q] + SLACK * size[q], np.inf)
+        best: list[tuple[int, int]] = []  # heap, worst first
+        kth = floor[q] if floor[q] is not None else -np.inf
         queue = [(-bound[0], 0)]
         while queue and -queue[0][0] >= kth:
             _, node = heapq.heappop(queue)
@@ -74,11 +96,11 @@ def search(tree: Tree, ids: np.ndarray, rids: np.ndarray, queries: np.ndarray, o
                         heapq.heappush(queue, (-bound[c], c))
                 continue
             a, b = tree.rows[node]
-            scores = tree.points[a:b] @ queries[q]
-            for i in np.flatnonzero(scores >= kth):
-                if rids[a + i] == own[q]:
+            scores = shard.scores(a, b, raw[q], queries[q], small)
+            for i in np.flatnonzero((scores >= kth).astype(bool)):
+                if shard.rids[a + i] == own[q]:
                     continue
-                item = (scores[i], -int(ids[a + i]))
+                item = (int(scores[i]), -int(shard.ids[a + i]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -89,74 +111,36 @@ def search(tree: Tree, ids: np.ndarray, rids: np.ndarray, queries: np.ndarray, o
     return out
 
 
-def quantised(vector: Column, scale: int = 256) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
-
-
-def _packed(rows: DataFrame, group: str, names: dict[str, str]) -> DataFrame:
-    """One row per group: its numbers, ids and vectors as binary."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rid")
-        m = np.stack(pdf["v"].to_numpy())
-        return pd.DataFrame({names["group"]: [int(pdf[group].iloc[0])], "dim": [m.shape[1]], names["rids"]: [pdf["rid"].to_numpy(np.int64).tobytes()], names["ids"]: [pdf["id"].to_numpy(np.int64).tobytes()], names["v"]: [m.astype(np.float64).tobytes()]})
-
-    shape = f"{names['group']} long, dim int, {names['rids']} binary, {names['ids']} binary, {names['v']} binary"
-    return rows.groupBy(group, "dim").applyInPandas(pack, shape)
-
-
-def top_k(df: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def top_k(df: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """For each row whose id is divisible by ``every``: its k best other rows, as query_id, rank, vec_id, score.
 
-    Ties go to the smaller id. Rows with a null id, a null vector, or a null or non-finite component
+    Scores are inner products of floor(256 x), exact for all finite components; one beyond a 64-bit integer among the results is
+    an error. Ties go to the smaller id. Rows with a null id, a null vector, or a null or non-finite component
     take no part. Vectors are compared with those of their own length. Rows that repeat an id are rows
-    of their own; a query leaves out its own row only. Scores beyond 2^53 are refused.
+    of their own; a query leaves out its own row only. An empty table gives no rows.
     """
-    raw = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"))
-    fine = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
-    rows = kept(raw.filter(fine).select("id", quantised(F.col("v")).alias("v"), F.size("v").alias("dim"), F.monotonically_increasing_id().alias("rid")))
-    facts = rows.agg(F.count("*").alias("n"), F.sum((F.col("id") % every == 0).cast("long")).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).first()
-    if facts["norm"] is not None and facts["norm"] >= _EXACT:
-        raise ValueError("scores are too large to be exact")
-    shards, blocks = max(1, -(-facts["n"] // shard_rows)), max(1, -(-(facts["q"] or 0) // block_queries))
-    place = lambda n, s: F.pmod(F.xxhash64(F.lit(s), F.col("rid")), F.lit(n))
-    shard = kept(_packed(rows.withColumn("g", place(shards, "shard")), "g", {"group": "shard", "rids": "s_rids", "ids": "s_ids", "v": "s_v"}))
-    block = kept(_packed(rows.filter(F.col("id") % every == 0).withColumn("g", place(blocks, "block")), "g", {"group": "block", "rids": "q_rids", "ids": "q_ids", "v": "q_v"}))
-
-    def visit(batches):
-        tree, loaded = None, None
-        for b in batches:
-            out = {"query": [], "query_id": [], "vec_id": [], "score": []}
-            for r in b.to_pylist():
-                q = np.frombuffer(r["q_v"]).reshape(-1, r["dim"])
-                if loaded != (r["shard"], r["dim"]):
-                    tree = Tree(np.frombuffer(r["s_v"]).reshape(-1, r["dim"]))
-                    loaded = (r["shard"], r["dim"])
-                ids, rids = np.frombuffer(r["s_ids"], np.int64), np.frombuffer(r["s_rids"], np.int64)
-                q_ids, q_rids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_rids"], np.int64)
-                floor = np.frombuffer(r["floor"]) if r["floor"] is not None else np.full(len(q), -np.inf)
-                for best, i, own in zip(search(tree, ids, rids, q, q_rids, k, floor), q_ids, q_rids):
-                    for score, other in best:
-                        for name, x in zip(out, (own, i, -other, score)):
-                            out[name].append(int(x))
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in out.items()})
+    rows = kept(vector_rows(df, vec_id, vector).withColumn("rid", F.monotonically_increasing_id()))
+    n = max(1, -(-rows.count() // shard_rows))
+    place = lambda salt: F.pmod(F.xxhash64(F.lit(salt), F.col("rid")), F.lit(n)).cast("int")
+    shards = rows.withColumn("shard", place("shard"))
+    queries = rows.filter(F.col("id") % every == 0)
+
+    def visit(shard: Shard, b: pa.RecordBatch, vectors: np.ndarray) -> pa.RecordBatch:
+        out = {"query": [], "query_id": [], "vec_id": [], "score": []}
+        own, ids = numbers(b, "rid"), numbers(b, "id")
+        for best, i, rid in zip(search(shard, vectors, own, k, b.column("floor").to_pylist()), ids.tolist(), own.tolist()):
+            for score, other in best:
+                for name, x in zip(out, (rid, i, -other, score)):
+                    out[name].append(x)
+        return long_columns(out)
 
     shape = "query long, query_id long, vec_id long, score long"
-    # Each block of queries first meets one shard of its length, chosen by its number.
-    home = block.join(shard.select("shard", "dim"), "dim").groupBy("block", "dim").agg(F.min_by("shard", F.xxhash64("block", "shard")).alias("shard"))
-    at_home = kept(block.join(home, ["block", "dim"]).join(shard, ["shard", "dim"]).withColumn("floor", F.lit(None).cast("binary")).mapInArrow(visit, shape))
-    kth = at_home.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k).select("query", "kth")
-
-    def floors(key, pdf):
-        pdf = pdf.sort_values("rid")
-        return pd.DataFrame({"block": [int(key[0])], "dim": [int(key[1])], "floor": [pdf["kth"].fillna(-np.inf).to_numpy(np.float64).tobytes()]})
-
-    queries = rows.filter(F.col("id") % every == 0).select("rid", "dim", place(blocks, "block").alias("block"))
-    floor = queries.join(kth, queries.rid == kth["query"], "left").select("block", "dim", "rid", F.col("kth").cast("double").alias("kth")).groupBy("block", "dim").applyInPandas(floors, "block long, dim int, floor binary")
-    # Blocks of the stated query set against all other shards; rows of a shard come together, so its tree is built once.
-    targets = shard.select("shard", "dim").join(floor, "dim").join(home.select("block", "dim", F.col("shard").alias("done")), ["block", "dim"]).filter("shard != done").drop("done")
-    tasks = targets.join(block, ["block", "dim"]).join(shard, ["shard", "dim"]).sortWithinPartitions("shard", "dim")
-    found = at_home.union(tasks.mapInArrow(visit, shape))
+    # A first pass searches each query in one shard; the k-th scores found there start the second pass over the others.
+    home = place("home")
+    at_home = kept(meet(shards, queries.withColumn("floor", F.lit(None).cast("long")), home, Shard, visit, shape))
+    kth = at_home.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k).select(F.col("query").alias("rid"), F.col("kth").alias("floor"))
+    again = queries.join(kth, "rid", "left").withColumn("home", home).withColumn("to", every_shard(n)).filter("to != home").drop("home")
+    found = at_home.union(meet(shards, again.select("dim", "rid", "id", "v", "floor", "to"), F.col("to"), Shard, visit, shape))
 
     w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

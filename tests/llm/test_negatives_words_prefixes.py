@@ -61,7 +61,7 @@ def test_hard_negatives(spark, seed, dim, size, shard):
 def test_scan_drops_columns_and_rows_early():
     r = np.random.default_rng(5)
     raw = np.concatenate([r.normal(0, 0.01, (2000, 32)), r.normal(0, 1, (40, 32))])
-    shard = hardnegatives.Columns(np.zeros(2040, np.int64), np.arange(2040), np.arange(2040), raw)
+    shard = hardnegatives.Columns({"label": np.zeros(2040, np.int64), "id": np.arange(2040), "rid": np.arange(2040), "v": raw})
     seen = []
 
     def keep(lower, upper):

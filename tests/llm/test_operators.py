@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -278,7 +279,7 @@ def test_top_k(spark):
     r = np.random.default_rng(2)
     vectors = [[float(x) for x in r.normal(size=6)] for _ in range(300)]
     rows = [(i, v) for i, v in enumerate(vectors)] + [(7, vectors[3]), (300, vectors[3]), (400, None), (450, [1.0, None]), (500, [float("nan")] * 6), (None, vectors[1]), (550, [2.0])]
-    got = kdsearch.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=64, block_queries=2).collect()
+    got = kdsearch.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=64).collect()
     good = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     want = []
     for a, (i, v) in enumerate(good):
@@ -288,6 +289,25 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("size,shard", [(4e5 / 256, 64), (3e7, 16), (1e6, 1000)])
+def test_top_k_of_large_components(spark, size, shard):
+    r = random.Random(int(size))
+    rows = [(i, [round(r.gauss(0, 1), 3) * (size if i % 3 else 1.0) for _ in range(5)]) for i in range(120)] + [(500, []), (501, []), (550, [1e300]), (551, [0.0])]
+    df = spark.createDataFrame([(*x, 1, 2, "s", 3, 4) for x in rows], "vec_id long, embedding array<double>, rank int, score int, shard string, kind int, floor int").repartition(3)
+    whole = [[math.floor(256 * x) if abs(x) < 2**52 else int(x) * 256 for x in v] for _, v in rows]
+    want = []
+    for a, (i, v) in enumerate(rows):
+        if i % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(whole[a], whole[b])), j) for b, (j, w) in enumerate(rows) if a != b and len(v) == len(w))[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    got = kdsearch.top_k(df, shard_rows=shard)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and sorted(map(tuple, got.collect())) == sorted(want)
+    assert max(abs(x[3]) for x in want) > 2**40
+    far = spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception):
+        kdsearch.top_k(far).collect()
+
+
 def test_toxicity_and_quality(spark):
     r = random.Random(1)
     rows = [(i, " ".join(words(i, 40) + ["idiot"] * (i % 4 == 0) * (1 + i % 3) + ["!!!"] * (20 if i % 5 == 0 else 0)), f"s{i % 3}") for i in range(300)] + [(900, None, None), (901, "", "s1")]

@@ -11,6 +11,7 @@ from ..operators import drilldown as D
 from ..operators import joint as JT
 from ..operators import recommend as RC
 from ..operators import scenario as SC
+from ..operators import tcopula as TC
 from ..operators.periods import BASELINE, TARGET
 from .base import COMPONENTS, TIES, events, labelled, query, reel_lines, rounded, with_labels, with_reels
 
@@ -97,6 +98,35 @@ def _(spark, sf):
     return JT.t_conditional_quantiles(df, m, "qty", ["grammage", "handling_cost"]).select(*KEYS, "q05", "q50", "q95")
 
 
+@query("t_copula_row_density")
+def _(spark, sf):
+    df = joint_rows(spark, sf)
+    m, _ = JT.fit_t_copula(df, VARS, min_rows=50)
+    return TC.t_log_likelihood(df, m).select(*KEYS, "loglik")
+
+
+@query("t_copula_samples")
+def _(spark, sf):
+    m, _ = JT.fit_t_copula(joint_rows(spark, sf), VARS, min_rows=50)
+    s = TC.t_sample_joint(m, spark, 2000, seed=3)
+    return s.groupBy("grade").agg(F.count(F.lit(1)).alias("n"), F.avg("qty").alias("qty"), F.avg("handling_cost").alias("handling_cost"))
+
+
+@query("t_copula_conditional_draws")
+def _(spark, sf):
+    df = joint_rows(spark, sf)
+    m, _ = JT.fit_t_copula(df, VARS, min_rows=50)
+    d = TC.t_conditional_draws(df, m, ["qty", "handling_cost"], ["grammage"], KEYS, 5, 1)
+    return d.groupBy(*KEYS).agg(F.avg("qty").alias("qty"), F.avg("handling_cost").alias("handling_cost"))
+
+
+@query("t_copula_conditional_summaries")
+def _(spark, sf):
+    df = joint_rows(spark, sf)
+    m, _ = JT.fit_t_copula(df, VARS, min_rows=50)
+    return TC.t_conditional_summary(df, m, "qty", ["grammage", "handling_cost"], KEYS)
+
+
 @query(
     "kernel_density_curve",
     with_reels(""", s AS (SELECT 0.2 * stddev_samp(qty) AS bw, min(qty) AS lo, max(qty) AS hi, count(*) AS n, quantile_cont(qty, 0.025) AS p025, median(qty) AS p500, quantile_cont(qty, 0.975) AS p975 FROM reels),

@@ -5,13 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..core.ordered import top_rows
 from ..core.quantiles import group_quantiles
 from ..core.sizing import join_stats
 from .linear import Predict
+from .opaque import OpaqueModel
 from .periods import BASELINE, TARGET
 
 EXACT_LIMIT = 15
@@ -197,16 +201,10 @@ def linear_shap(df: DataFrame, keys: Sequence[str], coefs: Mapping[str, float],
     return got.select(*keys, *[b for b in by if b not in keys], base.alias("base_value"), F.inline(rows))
 
 
-def sampled_shap(
-    df: DataFrame, keys: Sequence[str], features: Sequence[str], predict: Predict, grade: str = "grade", background: int = 200,
-    explained: int | None = None, min_background: int = 30, permutations: int = 20, seed: int = 0,
+def _drawn_pairs(
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], grade: str, background: int, explained: int | None, min_background: int, permutations: int, seed: int
 ) -> DataFrame:
-    """Sampled Shapley values of a model's prediction against rows of the same grade.
-
-    Every complete row is explained unless ``explained`` asks for so many a grade. Background rows
-    (a sample: ``background``) are drawn per grade by hash order, which trims every grade before the shuffle. Grades with too few background rows use rows of all grades. Each
-    permutation pairs an explained row with one background row.
-    """
+    """Each explained row (``x_2``) with one background row (``x_1``) per draw ``__d``."""
     h = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(k) for k in keys])
     data = df.dropna(subset=list(features))
     to_explain = data
@@ -226,11 +224,72 @@ def sampled_shap(
     drawn = drawn.withColumn("__r", (F.pmod(F.xxhash64(F.lit(seed), "__d", *keys), limit) + 1).cast("int"))
     a = drawn.filter("__own").join(own, (F.col(grade) == F.col("__g")) & (drawn["__r"] == own["__r"])).drop("__g", own["__r"])
     b = drawn.filter(~F.col("__own")).join(F.broadcast(whole), "__r").select(*a.columns)
-    pairs = a.unionByName(b)
+    return a.unionByName(b)
+
+
+def sampled_shap(
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], predict: Predict, grade: str = "grade", background: int = 200,
+    explained: int | None = None, min_background: int = 30, permutations: int = 20, seed: int = 0,
+) -> DataFrame:
+    """Sampled Shapley values of a model's prediction against rows of the same grade.
+
+    Every complete row is explained unless ``explained`` asks for so many a grade. Background rows
+    (a sample: ``background``) are drawn per grade by hash order, which trims every grade before the shuffle. Grades with too few background rows use rows of all grades. Each
+    permutation pairs an explained row with one background row.
+    """
+    pairs = _drawn_pairs(df, keys, features, grade, background, explained, min_background, permutations, seed)
     per_draw = shapley_sampled(pairs, [*keys, grade, "__d"], features, predict, permutations=1, seed=seed)
     return per_draw.groupBy(*keys, grade, "variable").agg(F.avg("contribution").alias("shap"))
 
 
+def opaque_shap(
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], model: OpaqueModel, grade: str = "grade", background: int = 200,
+    explained: int | None = None, min_background: int = 30, permutations: int = 20, seed: int = 0,
+) -> DataFrame:
+    """``sampled_shap`` of a model that only predicts batches: one row per row and variable, with its base value and prediction.
+
+    The points of a permutation (features switched one after another from the background row to the explained one) are made
+    inside the Arrow batch, so a batch is one call of the model. A row's values add up to its prediction less its
+    base value, the mean prediction of the background rows it was paired with.
+    """
+    features = list(features)
+    n = len(features)
+    pairs = _drawn_pairs(df, keys, features, grade, background, explained, min_background, permutations, seed)
+    ids = [*keys, *[c for c in [grade] if c not in keys]]
+    order = F.xxhash64(F.lit(seed), F.lit("order"), "__d", *keys)
+    ready = pairs.select(*ids, order.alias("__o"), *[F.col(f"{f}_{s}").cast("double").alias(f"{f}_{s}") for s in (1, 2) for f in features])
+
+    def explain(batches):
+        predict = model.loaded()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            one, two = (np.column_stack([b.column(f"{f}_{s}").to_numpy(zero_copy_only=False) for f in features]) for s in (1, 2))
+            turns = _orders(b.column("__o").to_numpy().view(np.uint64), n)
+            place = np.empty_like(turns)
+            np.put_along_axis(place, turns, np.arange(n)[None, :].repeat(len(turns), 0), axis=1)
+            # Point j of a row has the first j features of its order from the explained row.
+            points = np.where(place[:, None, :] < np.arange(n + 1)[None, :, None], two[:, None, :], one[:, None, :])
+            cost = np.asarray(predict(points.reshape(-1, n)), dtype=float).reshape(len(turns), n + 1)
+            shares = np.take_along_axis(np.diff(cost, axis=1), place, axis=1)
+            out = [*[b.column(i) for i in ids], pa.array(cost[:, 0]), pa.array(cost[:, -1]), *[pa.array(shares[:, i]) for i in range(n)]]
+            yield pa.RecordBatch.from_arrays(out, names=[*ids, "base_value", "prediction", *[f"__s{i}" for i in range(n)]])
+
+    shape = T.StructType([*[ready.schema[i] for i in ids], *[T.StructField(c, T.DoubleType()) for c in ("base_value", "prediction", *[f"__s{i}" for i in range(n)])]])
+    means = ready.mapInArrow(explain, shape).groupBy(*ids).agg(*[F.avg(c).alias(c) for c in ("base_value", "prediction", *[f"__s{i}" for i in range(n)])])
+    rows = F.array(*[F.struct(F.lit(f).alias("variable"), F.col(f"__s{i}").alias("shap")) for i, f in enumerate(features)])
+    return means.select(*ids, "base_value", "prediction", F.inline(rows))
+
+
+def _orders(h: np.ndarray, n: int) -> np.ndarray:
+    """A random order of ``n`` features per hash."""
+    with np.errstate(over="ignore"):
+        x = h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.argsort(x ^ (x >> np.uint64(31)), axis=1, kind="stable")
+
+
 def shap_table(df: DataFrame, keys: Sequence[str], features: Sequence[str], prefix: str = "shap_") -> DataFrame:
     """Row × feature × value × contribution from a wide table with one ``shap_x`` column per feature."""
     rows = F.array(

@@ -39,8 +39,10 @@ def test_p_value_is_exact_for_small_samples_and_the_series_beyond(spark):
     assert CL.ks_two_sample(df.filter("a"), "x", F.col("a")).first()["p_value"] is None
 
 
+@pytest.fixture(scope="module")
 def steps():
-    return lambda x: np.where(x[:, 0] > 0.5, 10.0, 0.0) + np.where((x[:, 1] > 0) & (x[:, 0] > 0), 4.0, 1.0) + x[:, 2]
+    # Tasks can't import this module, so the loader is a function of a function.
+    return lambda: lambda x: np.where(x[:, 0] > 0.5, 10.0, 0.0) + np.where((x[:, 1] > 0) & (x[:, 0] > 0), 4.0, 1.0) + x[:, 2]
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +53,7 @@ def rows(spark):
     return pdf, spark.createDataFrame(pdf).repartition(3)
 
 
-def test_opaque_predictions(spark, rows):
+def test_opaque_predictions(spark, rows, steps):
     pdf, df = rows
     gap = df.unionByName(spark.createDataFrame([("few", 900, None, 1.0, 1.0)], df.schema))
     got = {r["id"]: r["p"] for r in OP.predict_opaque(gap, {"p": (OP.OpaqueModel("steps", steps), ["a", "b", "c"]), "q": (OP.OpaqueModel("first", lambda: lambda x: x[:, 0]), ["c"])}).collect()}
@@ -60,7 +62,7 @@ def test_opaque_predictions(spark, rows):
     assert OP.predict_opaque(df.limit(0), {"p": (OP.OpaqueModel("steps", steps), ["a", "b", "c"])}).count() == 0
 
 
-def test_opaque_shap_adds_up_and_matches_the_expression_form(rows):
+def test_opaque_shap_adds_up_and_matches_the_expression_form(rows, steps):
     pdf, df = rows
     model = OP.OpaqueModel("steps", steps)
     out = AT.opaque_shap(df, ["id"], ["a", "b", "c"], model, permutations=12, min_background=60).toPandas()

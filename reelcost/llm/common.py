@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,14 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps: its cleaner waits for the driver's garbage collector."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of finished steps: its cleaner waits for the driver's garbage collector.
+
+    A plan holds on to its shuffles through several objects, which go one collection after the other.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def text_of(name: str = "text") -> Column:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gc
-import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +34,21 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps: its cleaner waits for the driver's garbage collector.
-
-    A plan holds on to its shuffles through several objects, which go one collection after the other.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    """Let Spark remove the shuffle files of finished steps: its cleaner waits for the driver's garbage collector."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run inside leave no shuffle files behind; their results must be kept elsewhere."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def text_of(name: str = "text") -> Column:

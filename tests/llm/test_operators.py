@@ -275,6 +275,51 @@ def test_url_models(spark):
     assert (by[126].path, by[126].rule, by[127].rule, by[128].host) == ("", None, "org/", "org")
 
 
+def alike_pair(a, b, min_words=50, min_identity=0.8):
+    """Brute force: is there a stretch on any diagonal long and alike enough?"""
+    a, b = np.array(a), np.array(b)
+    for d in range(-len(a) + min_words, len(b) - min_words + 1):
+        lo, hi = max(0, -d), min(len(a), len(b) - d)
+        sums = np.concatenate([[0.0], np.cumsum((a[lo:hi] == b[lo + d : hi + d]) - min_identity)])
+        low = np.minimum.accumulate(sums)
+        if (np.arange(len(sums)) - np.searchsorted(-low, -sums - 1e-9)).max() >= min_words:
+            return True
+    return False
+
+
+def test_recall_of_planted_variants(spark):
+    r, groups, docs_ = random.Random(17), [], []
+    for size in (52, 70, 100):
+        for share in (0.06, 0.08, 0.1):
+            for _ in range(2):
+                base, group = words(r.random(), size), []
+                for _ in range(6):
+                    w = list(base)
+                    for j in r.sample(range(size), round(share * size)):
+                        w[j] = f"new{r.random()}"
+                    group.append(len(docs_))
+                    docs_.append(words(r.random(), r.randint(20, 120)) + w + words(r.random(), r.randint(20, 120)))
+                groups.append(group)
+    exact = words(r.random(), 50)
+    repeats = [len(docs_), len(docs_) + 1]
+    docs_ += [words(r.random(), 60) + exact + words(r.random(), 30), words(r.random(), 20) + exact]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs_)], "doc_id long, text string").repartition(4)
+    got = {(x.ref_doc_id, x.doc_id) for x in chaining.repeated_passages(df).collect()}
+    want = {p for g in groups for p in itertools.combinations(g, 2) if alike_pair(docs_[p[0]], docs_[p[1]])}
+    assert tuple(repeats) in got and all(any(set(p) <= set(g) for g in [*groups, repeats]) for p in got)
+    # Documents of a group, all linked through its anchors.
+    linked = 0
+    for g in groups:
+        reach, todo = set(), [g[0]]
+        while todo:
+            x = todo.pop()
+            if x not in reach:
+                reach.add(x)
+                todo += [b if a == x else a for a, b in got if x in (a, b)]
+        linked += sum(set(p) <= reach for p in want if set(p) <= set(g))
+    assert len(want) > 200 and len(want & got) / len(want) >= 0.95 and linked / len(want) >= 0.98
+
+
 def test_top_k(spark):
     r = np.random.default_rng(2)
     vectors = [[float(x) for x in r.normal(size=6)] for _ in range(300)]

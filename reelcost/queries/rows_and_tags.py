@@ -43,6 +43,50 @@ def _(spark, sf):
     return S.read_delimited(spark, path, "TagNumber bigint, Name string, Measure string")
 
 
+# Years from 1996 on have a third tag, which stands before the second one; one reading of a reel is no number.
+_EXPORT = """SELECT year(l_shipdate) AS year, count(*) AS n, count(CASE WHEN l_linenumber <> 7 THEN 1 END) AS n_flow, round(sum(CASE WHEN l_linenumber <> 7 THEN l_quantity END), 2) AS flow,
+ round(sum(l_extendedprice), 2) AS power, round(sum(CASE WHEN year(l_shipdate) >= 1996 THEN l_tax END), 2) AS dose, min(CAST(l_shipdate AS TIMESTAMP)) AS first_time FROM lineitem GROUP BY ALL"""
+
+
+def exported_years(spark, sf):
+    """Lines of order data as one sensor export a year, each with its own wrapped header."""
+    li = load(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate"))
+    late = F.col("year") >= 1996
+    flow = F.when(F.col("l_linenumber") == 7, "n/a").otherwise(F.format_string("%.2f", F.col("l_quantity").cast("double")))
+    power, dose = (F.format_string("%.2f", F.col(c).cast("double")) for c in ("l_extendedprice", "l_tax"))
+    line = F.concat_ws("\t", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), flow, F.when(late, dose), power)
+    heads = li.select("year").distinct().withColumn("late", late)
+    texts = [("Time\tflow to",) * 2, ("\tpress",) * 2, ("\tpower of", "\tdose of\tpower of"), ("\trefiner", "\tstarch"), ("\tl/min\tkW", "\tl/min\tkg/t\tkW"), ("\tFLOW\tPOWER", "\tFLOW\tDOSE\tPOWER")]
+    head = F.array(*[F.when(F.col("late"), b).otherwise(a) for a, b in texts])
+    first = heads.select("year", F.posexplode(head).alias("n", "line"))
+    rows = first.unionByName(li.select("year", F.lit(S.HEADER_LINES).alias("n"), line.alias("line")))
+    path = S.scratch_path(spark, "exports")
+    # One file a year: its header has to come first.
+    rows.repartition("year").sortWithinPartitions("year", "n").select("year", "line").write.partitionBy("year").text(path)
+    return S.read_wrapped_headers(spark, f"{path}/year=*")
+
+
+@query("wrapped_header_files", _EXPORT)
+def _(spark, sf):
+    rows, _ = exported_years(spark, sf)
+    year = F.regexp_extract("file", r"year=(\d+)", 1).cast("bigint")
+    out = rows.groupBy(year.alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("FLOW").alias("n_flow"), F.sum("FLOW").alias("flow"), F.sum("POWER").alias("power"),
+        F.sum("DOSE").alias("dose"), F.min("Time").alias("first_time"),
+    )
+    return rounded(out, "flow", "power", "dose", digits=2)
+
+
+@query(
+    "wrapped_header_tags",
+    """SELECT DISTINCT year(l_shipdate) AS year, unnest(CASE WHEN year(l_shipdate) >= 1996 THEN ['Time', 'FLOW', 'DOSE', 'POWER'] ELSE ['Time', 'FLOW', 'POWER'] END) AS tag,
+ unnest(CASE WHEN year(l_shipdate) >= 1996 THEN ['datetime', 'l/min', 'kg/t', 'kW'] ELSE ['datetime', 'l/min', 'kW'] END) AS unit FROM lineitem""",
+)
+def _(spark, sf):
+    _, meta = exported_years(spark, sf)
+    return meta.select(F.regexp_extract("file", r"year=(\d+)", 1).cast("bigint").alias("year"), "tag", "unit")
+
+
 @query("parquet_write_and_read_back", "SELECT * FROM supplier")
 def _(spark, sf):
     path = S.scratch_path(spark, "supplier")

@@ -6,13 +6,16 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..core.session import load
+from ..core.sizing import join_stats
 from ..operators import attribution as AT
 from ..operators import clusters as CL
 from ..operators import linear as L
 from ..operators import mixtures as MX
 from ..operators import opaque as OP
+from ..operators import sketches as SK
 from ..operators import timeseries as TS
 from ..operators.periods import BASELINE, TARGET
+from ..sources.files import scratch_path, write_parquet
 from .base import events, labelled, query, reel_lines, rounded, with_labels, with_reels
 
 KEYS = ["reel_id", "line_no", "part_id", "supp_id"]
@@ -472,3 +475,26 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return rounded(AT.top_with_other(_ranking(spark, sf), 2, by=["g"]), "mean_abs_shap")
+
+
+# Sketches are random, so the SQL gives the exact figures, and that every error stays within three times its bound.
+_STORED = {"p10": ("total_cost", 0.1), "p50": ("total_cost", 0.5), "p99": ("total_cost", 0.99)}
+
+
+@query(
+    "quantiles_from_stored_sketches",
+    with_reels("SELECT grade, count(*) AS n_rows, round(min(total_cost), 6) AS lowest, round(max(total_cost), 6) AS highest, true AS p10_ok, true AS p50_ok, true AS p99_ok, true AS parts_ok FROM reels GROUP BY grade"),
+)
+def _(spark, sf):
+    k, df = 512, reel_lines(spark, sf).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    path = scratch_path(spark, "sketches")
+    write_parquet(SK.sketch_measures(df, ["grade", "month"], ["total_cost"], ["part_id"], k), path)
+    merged = SK.merge_sketches(spark.read.parquet(path), ["grade"], k)
+    ends = {"lowest": ("total_cost", 0.0), "highest": ("total_cost", 1.0)}
+    answers = SK.sketch_answers(merged, ["grade"], {**_STORED, **ends}, {"parts": "part_id"})
+    checked = SK.rank_interval(df, answers, ["grade"], _STORED)
+    exact = df.groupBy("grade").agg(F.countDistinct("part_id").alias("exact"))
+    out = join_stats(checked, exact, ["grade"])
+    good = [(F.col(f"{q}_error") <= 3 * SK.rank_error(k)).alias(f"{q}_ok") for q in _STORED]
+    parts = F.abs(F.col("parts") - F.col("exact")) <= 3 * SK.distinct_error() * F.col("exact")
+    return rounded(out.select("grade", "n_rows", "lowest", "highest", *good, parts.alias("parts_ok")), "lowest", "highest")

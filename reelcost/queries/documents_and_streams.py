@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..core.session import load
 from ..operators import retrieval as RT
 from ..sources.files import scratch_path
+from ..streaming import reelstate as RS
 from ..streaming import streams as ST
 from .base import events, query, rounded
 
@@ -161,6 +164,21 @@ def _(spark, sf):
     return drain(spark, out, "unique").select("user_id", "event_type", F.lit(True).alias("seen"))
 
 
+@contextmanager
+def rocksdb(spark):
+    """The state store that state machines need, for the streams started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -171,16 +189,74 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
  SELECT machine, reel_id, ts, value, n_rows FROM n WHERE k = least(2, n_rows) AND reel_id < newest""",
 )
 def _(spark, sf):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
-    try:
+    with rocksdb(spark):
         s = event_stream(spark, sf).select(
             F.col("event_type").alias("machine"), F.datediff("ts", F.lit("2024-01-01")).cast("bigint").alias("reel_id"), "ts", "value"
         )
         return drain(spark, ST.turnup_stream(s), "turnup")
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+
+
+def feed(spark, rows, transform, name):
+    """Hand out rows by their ``part``, one after another, to a stream that goes on where it stopped; read its output."""
+    inbox, out, state = (scratch_path(spark, f"{name}{x}") for x in ("-in", "", "-state"))
+    first, last = rows.agg(F.min("part"), F.max("part")).head()
+    if first is None:
+        return spark.createDataFrame([], transform(rows.drop("part")).schema)
+    for part in range(first, last + 1):
+        rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(inbox)
+        result = transform(spark.readStream.schema(rows.drop("part").schema).parquet(inbox))
+        q = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(result.schema).parquet(out)
+
+
+# Every part holds eight days; a tenth of the rows comes one part later, beyond the allowed lateness for most of them.
+_PARTS = """x AS (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 8 + CAST(event_id % 10 = 0 AS BIGINT) AS part FROM events),
+ latest AS (SELECT part, max(max(epoch_ms(ts))) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x GROUP BY part)"""
+
+
+def delayed_events(spark, sf):
+    part = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 8) + (F.col("event_id") % 10 == 0).cast("bigint")
+    return events(spark, sf).withColumn("part", part)
+
+
+@query(
+    "stream_tumbling_means_with_late_rows",
+    f"""WITH {_PARTS}, k AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, event_type, value FROM x JOIN latest USING (part) WHERE before IS NULL OR epoch_ms(time_bucket(INTERVAL '1 hour', ts)) + 3600000 > before - 21600000)
+ SELECT CAST(s AS TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value), 6) AS value FROM k GROUP BY ALL HAVING epoch_ms(s) + 3600000 <= (SELECT max(epoch_ms(ts)) FROM events) - 21600000""",
+)
+def _(spark, sf):
+    out = feed(spark, delayed_events(spark, sf), lambda s: ST.tumbling_means(s, "ts", "1 hour", ["value"], ["event_type"], late="6 hours"), "late-tumbling")
+    return rounded(out, "value")
+
+
+@query(
+    "stream_unique_rows_with_late_rows",
+    f"WITH {_PARTS} SELECT event_id, ts, user_id, event_type FROM x JOIN latest USING (part) WHERE before IS NULL OR epoch_us(ts) > (before - 86400000) * 1000",
+)
+def _(spark, sf):
+    # A third of the events is sent again one part later.
+    first = delayed_events(spark, sf).select("event_id", "ts", "user_id", "event_type", "part")
+    again = first.filter("event_id % 3 = 0").withColumn("part", F.col("part") + 1)
+    return feed(spark, first.unionByName(again), lambda s: ST.unique_rows(s, "ts", ["event_id"], late="1 day"), "late-unique")
+
+
+@query(
+    "stream_reel_events_out_of_order",
+    """WITH x AS (SELECT event_type AS machine, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS reel_id, ts, event_id, event_id % 97 AS code, value FROM events),
+ r AS (SELECT * FROM x WHERE epoch_ms(time_bucket(INTERVAL '1 hour', ts)) + 3600000 <= (SELECT max(epoch_ms(ts)) FROM events) - 21600000),
+ e AS (SELECT *, lag(code) OVER w AS previous, lead(value) OVER w AS next_power FROM r WINDOW w AS (PARTITION BY machine ORDER BY ts, event_id)),
+ n AS (SELECT *, row_number() OVER (PARTITION BY machine, reel_id ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY machine, reel_id) AS n_rows, max(reel_id) OVER (PARTITION BY machine) AS newest FROM r)
+ SELECT machine, 'turnup' AS kind, reel_id, ts, value, n_rows FROM n WHERE k = least(2, n_rows) AND reel_id < newest
+ UNION ALL SELECT machine, 'break', reel_id, min(ts), NULL, NULL FROM e WHERE (code = 0 AND previous <> 0) OR (value > 200 AND next_power < 200) GROUP BY machine, reel_id""",
+)
+def _(spark, sf):
+    # Rows come up to three hours late, so that those around the end of a part reach the stream after newer ones.
+    e = events(spark, sf)
+    part = F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("event_id") % 7 * 1800) / 691200)
+    rows = e.select(
+        F.col("event_type").alias("machine"), F.datediff("ts", F.lit("2024-01-01")).cast("bigint").alias("reel_id"), "ts", F.col("event_id").alias("tie"),
+        (F.col("event_id") % 97).cast("double").alias("code"), F.col("value").alias("power"), "value", part.alias("part"),
+    )
+    with rocksdb(spark):
+        return feed(spark, rows, lambda s: RS.reel_event_stream(s, late="6 hours", level=200.0), "reel-events")

@@ -55,7 +55,7 @@ class TurnupEmitter(StatefulProcessor):
         self.before = handle.getValueState("before", "ts timestamp, value double")
         self.open = handle.getValueState("open", "reel_id long, seen long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         machine = key[0]
         reel, seen = self.open.get() if self.open.exists() else (None, 0)
         last = self.last.get() if self.last.exists() else None
@@ -77,10 +77,10 @@ class TurnupEmitter(StatefulProcessor):
         if self.idle_ms is not None:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame(out, columns=["machine", "reel_id", "ts", "value", "n_rows"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
         if self.open.exists():
             reel, seen = self.open.get()

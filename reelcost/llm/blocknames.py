@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, kept, text_of
+from .common import SPACE_CLASS, free_names, kept, text_of
 
 BLOCK_CHARS = 2048
 
@@ -106,7 +106,8 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block_
 
 def without_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
-    stays = duplicates(df, doc_id, text).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_chars").alias("__n"))
-    marked = df.select("*", F.sha2(normalised(text_of(text)), 256).alias("__key"), F.length(text_of(text)).alias("__len"))
-    on = (F.col("__key") == F.col("__sha")) & F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__len") == F.col("__n"))
-    return marked.join(stays, on).dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    key, chars, other, sha, n = free_names(df, "__key", "__len", "__id", "__sha", "__n")
+    stays = duplicates(df, doc_id, text).filter("kept").select(F.col("doc_id").alias(other), F.col("text_sha256").alias(sha), F.col("n_chars").alias(n))
+    marked = df.select("*", F.sha2(normalised(text_of(text)), 256).alias(key), F.length(text_of(text)).alias(chars))
+    on = (F.col(key) == F.col(sha)) & F.col(doc_id).eqNullSafe(F.col(other)) & (F.col(chars) == F.col(n))
+    return marked.join(stays, on).dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -51,6 +51,17 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names of added columns, lengthened until ``df`` has no column of that name in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, text_of
+from .common import free_names, kept, text_of
 
 # At most so many labelled documents are fitted: those whose ids hash lowest.
 SAMPLE_DOCS = 6_000
@@ -216,20 +216,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Model(dict(zip(got["f"], got["w"])), list(got["cuts"]), got["reject"], got["accuracy"]) if got else Model()
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` plus __severity and __grade. Null or empty text scores as no words."""
-    names = docs.columns
+def scored(docs: DataFrame, model: Model, text: str = "text", severity: str = "__severity", grade: str = "__grade") -> DataFrame:
+    """All rows and columns of ``docs`` plus severity and grade. Null or empty text scores as no words.
+
+    Columns of ``docs`` that have these two names are replaced.
+    """
+    names = [c for c in docs.columns if c.lower() not in (severity.lower(), grade.lower())]
 
     def rate(texts: pd.Series) -> pd.DataFrame:
         s = np.array([model.score(t) if t else 0.0 for t in texts])
         return pd.DataFrame({"severity": model.severity(s), "grade": model.grade(s)})
 
     udf = F.pandas_udf(rate, "severity double, grade long")
-    out = docs.select(*[F.col(f"`{c}`") for c in names], udf(F.col(text)).alias("__s"))
-    return out.select(*[F.col(f"`{c}`") for c in names], F.col("__s.severity").alias("__severity"), F.col("__s.grade").alias("__grade"))
+    (both,) = free_names(docs, "__s")
+    out = docs.select(*[F.col(f"`{c}`") for c in names], udf(F.col(text)).alias(both))
+    return out.select(*[F.col(f"`{c}`") for c in names], F.col(both)["severity"].alias(severity), F.col(both)["grade"].alias(grade))
 
 
-def is_toxic(model: Model) -> Column:
-    return F.col("__severity") >= F.lit(model.reject_from)
+def is_toxic(model: Model, severity: str = "__severity") -> Column:
+    return F.col(severity) >= F.lit(model.reject_from)
 
 

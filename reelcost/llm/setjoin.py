@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitset_of, components, hashed_runs, hashed_words, in_bitset, kept, mix, release, slices
+from .common import bitset_of, components, free_names, hashed_runs, hashed_words, in_bitset, kept, mix, release, slices
 
 WORDS = 5
 PERCENT = 75
@@ -264,5 +264,6 @@ def near_duplicates(
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` whose document names its component, and rows without an id."""
-    gone = near_duplicates(df, doc_id, text).filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return df.join(gone, F.col(doc_id) == F.col("__id"), "left_anti")
+    (other,) = free_names(df, "__id")
+    gone = near_duplicates(df, doc_id, text).filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(other)).distinct()
+    return df.join(gone, F.col(doc_id) == F.col(other), "left_anti")

@@ -15,14 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reelcost.core.session import ensure_checkpoint_dir, ship_package
 from reelcost.llm import blocknames, credentials, ordinal, packing, setjoin
-from reelcost.llm.common import table
+from reelcost.llm.common import free_names, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity stays below the calibrated threshold."""
     ship_package(spark)
     model = ordinal.fit(docs, table(spark, sf_dir, "labels"))
-    return ordinal.scored(docs, model).filter(~ordinal.is_toxic(model)).select(*docs.columns)
+    severity, grade = free_names(docs, "__severity", "__grade")
+    scored = ordinal.scored(docs, model, severity=severity, grade=grade)
+    return scored.filter(~ordinal.is_toxic(model, severity)).drop(severity, grade)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_duplicates", exact_duplicates), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packed)]
 
-# Trained weights and a tokenizer library decide the rows; tests/llm compares operators with brute force, not the stages in a row.
+# Trained weights and a tokenizer library decide the rows; tests/llm compares the stages in a row with brute force.
 ORACLE_SQL = None
 
 

@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import is_small, join_stats
+from .sizing import is_small, join_stats, materialise
 
 SKETCH_ACCURACY = 20_000
+# Rows of a group whose values one task may hold.
+GROUP_ROWS = 100_000
 
 
 def group_quantiles(
@@ -21,16 +23,32 @@ def group_quantiles(
 ) -> DataFrame:
     """One row per group with ``{alias: quantile}``; NULLs are ignored, NULL keys kept.
 
-    Small inputs use the built-in exact ``percentile``, whose state grows with the number of
-    distinct values. Large ones take two passes: a mergeable sketch brackets each wanted
+    Small inputs, and groups of at most ``GROUP_ROWS`` rows, use the built-in exact ``percentile``, whose state grows with
+    the number of distinct values. Larger ones take two passes: a mergeable sketch brackets each wanted
     rank, then the rows below the bracket are only counted and the few inside are ranked.
     """
+    by = list(by)
+    aggs = [F.percentile(c.cast("double"), F.lit(float(p))).alias(a) for a, (c, p) in specs.items()]
+    if two_pass is None and not is_small(df) and by:
+        return _by_size(df, by, specs, aggs, accuracy)
     if two_pass is None:
         two_pass = not is_small(df)
     if not two_pass:
-        aggs = [F.percentile(c.cast("double"), F.lit(float(p))).alias(a) for a, (c, p) in specs.items()]
         return df.groupBy(*by).agg(*aggs)
-    return _bracketed(df, list(by), specs, accuracy)
+    return _bracketed(df, by, specs, accuracy)
+
+
+def _by_size(df, by, specs, aggs, accuracy):
+    """Few large groups are bracketed; millions of small ones must not each keep a sketch."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    listed = sizes.agg(F.count(F.when(F.col("__n") <= GROUP_ROWS, 1)), F.count(F.when(F.col("__n") > GROUP_ROWS, 1))).first()
+    if not listed[1]:
+        return df.groupBy(*by).agg(*aggs)
+    if not listed[0]:
+        return _bracketed(df, by, specs, accuracy)
+    large = materialise(sizes.filter(F.col("__n") > GROUP_ROWS).select(*by))
+    few = join_stats(df, large, by, how="left_anti", null_safe=True).groupBy(*by).agg(*aggs)
+    return few.unionByName(_bracketed(join_stats(df, large, by, how="left_semi", null_safe=True), by, specs, accuracy))
 
 
 def _bracketed(df, by, specs, accuracy):
@@ -57,6 +75,8 @@ def _bracketed(df, by, specs, accuracy):
         *[F.max(F.when(val[i] < lo[i], val[i])).alias(f"__x{i}") for i in range(len(probs))],
         *[F.min(F.when(val[i] > hi[i], val[i])).alias(f"__y{i}") for i in range(len(probs))],
     )
+    # One row a group, which the steps below and the result read.
+    below = materialise(below)
     inside = tagged.select(
         *by,
         F.explode(

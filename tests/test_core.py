@@ -108,3 +108,17 @@ def test_top_rows_trims_before_the_shuffle(spark):
 def test_load_turns_nan_into_null(spark, tmp_path):
     spark.createDataFrame([(float("nan"),), (1.0,)], "x double").write.parquet(f"{tmp_path}/t.parquet")
     assert sorted(r.x is None for r in load(spark, str(tmp_path), "t").collect()) == [False, True]
+
+
+def test_small_groups_of_a_large_table_keep_no_sketch(spark, monkeypatch):
+    from reelcost.core import quantiles as Q
+
+    bracketed = Q._bracketed
+    monkeypatch.setattr(Q, "is_small", lambda df: False)
+    monkeypatch.setattr(Q, "_bracketed", lambda *a: pytest.fail("a sketch for each small group"))
+    df = spark.range(300).selectExpr("id % 100 AS g", "CAST(id AS DOUBLE) AS v")
+    assert {r.g: r.m for r in Q.group_medians(df, ["g"], {"m": F.col("v")}).collect()} == {g: g + 100.0 for g in range(100)}
+    monkeypatch.setattr(Q, "_bracketed", bracketed)
+    monkeypatch.setattr(Q, "GROUP_ROWS", 2)
+    mixed = spark.createDataFrame([(None, 5.0), (0, 1.0), (0, 2.0), (0, 9.0), (1, 4.0), (None, 6.0), (2, None), (2, None), (2, None)], "g int, v double")
+    assert {r.g: r.m for r in Q.group_medians(mixed, ["g"], {"m": F.col("v")}).collect()} == {None: 5.5, 0: 2.0, 1: 4.0, 2: None}

@@ -21,13 +21,22 @@ class Windows:
         current[order] = np.arange(n)
         weight = np.ones(n, np.int64) if weights is None else np.asarray(weights, np.int64)
         self.total = np.concatenate([[0], np.cumsum(weight)])
+        # Counts need the bits of their largest value only; rows that all count once share them with the weights.
+        alone = bool((weight == 1).all())
+        kind = np.int32 if max(n, int(self.total[-1])) < 2**31 else np.int64
+        current, weight = current.astype(kind), weight.astype(kind)
         self.levels = []
         for b in range(max(1, int(n - 1).bit_length()) - 1, -1, -1):
             zero = (current >> b & 1) == 0
-            count = np.concatenate([[0], np.cumsum(zero)])
-            self.levels.append((count, np.concatenate([[0], np.cumsum(np.where(zero, weight, 0))]), int(count[-1])))
-            turn = np.concatenate([np.flatnonzero(zero), np.flatnonzero(~zero)])
-            current, weight = current[turn], weight[turn]
+            count = self._sums(zero, kind)
+            self.levels.append((count, count if alone else self._sums(np.where(zero, weight, kind(0)), kind), int(count[-1])))
+            current, weight = (np.concatenate([x[zero], x[~zero]]) for x in (current, weight))
+
+    @staticmethod
+    def _sums(x: np.ndarray, kind: type) -> np.ndarray:
+        out = np.zeros(len(x) + 1, kind)
+        np.cumsum(x, out=out[1:], dtype=kind)
+        return out
 
     def weight(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return self.total[high] - self.total[low]

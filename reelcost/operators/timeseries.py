@@ -145,8 +145,10 @@ def rolling_stats(
         high, low = last + 1, np.searchsorted(t, t[last] - width, side="right")
         center = v.mean() if len(v) else 0.0
         d = (v - center).astype(np.longdouble)
-        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (n, d * n, d * d * n)]
+        # One running sum at a time: only its values at the windows' ends are kept.
+        sums = (np.concatenate([[0], np.cumsum(x)]) for x in (n, d * n, d * d * n))
         count, s, q = (x[high] - x[low] for x in sums)
+        del d
         with np.errstate(divide="ignore", invalid="ignore"):
             var = np.maximum(q - s * s / count, 0) / (count - 1)
         std = pa.array(np.sqrt(var.astype(float)), mask=count < 2)

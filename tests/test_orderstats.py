@@ -82,3 +82,10 @@ def test_rolling_statistics_against_each_window(spark):
             assert np.isclose(r["p_low"], np.quantile(x, 0.025)) and np.isclose(r["p_high"], np.quantile(x, 0.975))
             assert r["std"] is None if len(x) < 2 else np.isclose(r["std"], x.std(ddof=1), atol=1e-9)
     assert keys == set(got)
+
+
+def test_levels_hold_no_more_than_they_need():
+    w = OS.Windows(np.arange(1000.0), np.ones(1000, int))
+    assert all(count.dtype == np.int32 and weight is count for count, weight, _ in w.levels)
+    w = OS.Windows(np.arange(4.0), np.array([1, 2**31, 1, 1]))
+    assert w.kth([0], [4], [2**31]).tolist() == [1.0] and w.kth([0], [4], [2**31 + 1]).tolist() == [2.0]

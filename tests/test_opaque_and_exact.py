@@ -75,3 +75,13 @@ def test_opaque_shap_adds_up_and_matches_the_expression_form(rows, steps):
     one = AT.opaque_shap(df, ["id"], ["a", "b"], linear, seed=4).toPandas().set_index(["id", "variable"])["shap"]
     two = AT.sampled_shap(df, ["id"], ["a", "b"], lambda g: 2 * g("a") - 3 * g("b"), seed=4).toPandas().set_index(["id", "variable"])["shap"]
     assert np.allclose(one.sort_index(), two.sort_index())
+
+
+def test_draws_of_shap_values_stay_in_their_row(spark):
+    rows = spark.range(50).selectExpr("id", "'g' AS grade", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 5 AS DOUBLE) AS b")
+    one = AT.sampled_shap(rows, ["id"], ["a", "b"], lambda g: g("a") * g("b"), permutations=4)
+    two = AT.opaque_shap(rows, ["id"], ["a", "b"], OP.OpaqueModel("product", lambda: lambda x: x[:, 0] * x[:, 1]), permutations=4)
+    for out in (one, two):
+        assert "explode(" not in out._jdf.queryExecution().toString()
+    means = two.groupBy("id").agg(F.sum("shap").alias("s"), F.first("base_value").alias("base"), F.first("prediction").alias("p")).collect()
+    assert len(means) == 50 and all(abs(r.p - r.base - r.s) < 1e-9 and r.p == (r.id % 7) * (r.id % 5) for r in means)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.ordered import bounded_frames, running_sums
+from ..core.ordered import BLK, bounded_frames, with_blocks
 from ..core.quantiles import group_medians
-from ..core.sizing import join_stats
+from ..core.sizing import block_count, join_stats, materialise
 from ..functions.expr import truthy
 from .relate import keep_first, second_last_rows, with_keys_of
 
@@ -57,11 +57,31 @@ def snap_to_targets(value: str | Column, targets: Sequence[float], tolerance: fl
 def smooth_isolated(
     df: DataFrame, category: str, grammage: str, part: Sequence[str], order: Sequence[str], blocks: int | None = None
 ) -> DataFrame:
-    """A category that differs from the previous one and from the grammage becomes the previous one."""
-    got = bounded_frames(df, part, order, 1, 0, lambda w: {"__p": F.lag(category).over(w)}, blocks)
+    """A category that differs from the previous one and from the grammage becomes the previous one.
+
+    A block of rows gets the last category of the block before it.
+    """
+    blocked = _in_blocks(df, order, blocks)
+    w = Window.partitionBy(*part, BLK).orderBy(*order)
+    last = blocked.groupBy(*part, BLK).agg(F.max_by(category, F.struct(*order)).alias("__last"))
+    carry = last.select(*part, BLK, F.lag("__last").over(Window.partitionBy(*part).orderBy(BLK)).alias("__c"))
+    got = blocked.select("*", F.lag(category).over(w).alias("__p"), F.row_number().over(w).alias("__rn"))
+    got = join_stats(got, carry, [*part, BLK], null_safe=True).withColumn("__p", F.when(F.col("__rn") == 1, F.col("__c")).otherwise(F.col("__p")))
     c = F.col(category)
     lone = truthy(F.col("__p").isNotNull() & (c != F.col("__p"))) & truthy(c != F.col(grammage))
-    return got.withColumn(category, F.when(lone, F.col("__p")).otherwise(c)).drop("__p")
+    done = got.withColumn(category, F.when(lone, F.col("__p")).otherwise(c)).select(*df.columns, BLK)
+    out = done.drop(BLK)
+    # The next ordered step on this very table goes on with its blocks instead of sorting the rows again.
+    out._in_blocks = (list(order), done)
+    return out
+
+
+def _in_blocks(df: DataFrame, order: Sequence[str], blocks: int | None) -> DataFrame:
+    """Rows with their block along ``order``: at least ``blocks`` of them, more when the table needs more."""
+    known = getattr(df, "_in_blocks", None)
+    if known and known[0] == list(order):
+        return known[1]
+    return with_blocks(df, order, max(blocks or 1, block_count(df)))
 
 
 def mismatch_runs(
@@ -69,28 +89,43 @@ def mismatch_runs(
 ) -> DataFrame:
     """Mismatch flag, batch start, and length and position in the run of equal flags.
 
-    A run is a range of row numbers, so its length follows from one minimum and maximum per run.
+    A run is a range of row numbers. A block knows where runs begin inside it; one row a block then tells the number of
+    rows before it, the begin of the run that reaches into it and the end of the one that reaches out of it.
     """
-    flag = ~F.col(category).eqNullSafe(F.col(grammage).cast("double"))
-    flagged = df.withColumn("mismatch", flag)
-
-    def exprs(w):
-        return {
-            "new_batch": ~F.col(grammage).eqNullSafe(F.lag(grammage).over(w)) | F.lag(F.lit(1)).over(w).isNull(),
-            "__chg": (~F.col("mismatch").eqNullSafe(F.lag("mismatch").over(w))).cast("int"),
-        }
-
-    marked = bounded_frames(flagged, part, order, 1, 0, exprs, blocks)
-    numbered = running_sums(marked, part, order, {"__run": F.col("__chg"), "__rn": F.lit(1).cast("long")}, blocks)
-    spans = numbered.groupBy(*part, "__run").agg(F.min("__rn").alias("__a"), F.max("__rn").alias("__z"))
-    joined = join_stats(numbered, spans, [*part, "__run"], null_safe=True)
-    zero = F.lit(0).cast("long")
-    return joined.select(
+    blocked = _in_blocks(df, order, blocks).withColumn("mismatch", ~F.col(category).eqNullSafe(F.col(grammage).cast("double")))
+    w = Window.partitionBy(*part, BLK).orderBy(*order)
+    marked = blocked.select("*", F.row_number().over(w).cast("long").alias("__rn"), F.lag("mismatch").over(w).alias("__pm"), F.lag(grammage).over(w).alias("__pg"))
+    turn = (F.col("__rn") > 1) & ~F.col("mismatch").eqNullSafe(F.col("__pm"))
+    ends = marked.groupBy(*part, BLK).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(turn, F.col("__rn"))).alias("t1"), F.max(F.when(turn, F.col("__rn"))).alias("t2"),
+        F.max(F.when(F.col("__rn") == 1, F.col("mismatch"))).alias("first"), F.max_by(F.struct("mismatch", F.col(grammage).alias("g")), "__rn").alias("last"),
+    )
+    along = Window.partitionBy(*part).orderBy(BLK)
+    before, behind = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*part).orderBy(F.desc(BLK)).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        "*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"), F.lag("last").over(along).alias("__prev"), F.sum("n").over(Window.partitionBy(*part)).alias("__all"),
+        F.lag(F.lit(1)).over(along).isNull().alias("__top"),
+    )
+    ends = ends.withColumn("__new", ~F.col("first").eqNullSafe(F.col("__prev.mismatch")))
+    at = F.col("__before")
+    opened, closed = F.when(F.col("__new"), at + 1).otherwise(at + F.col("t1")), at + F.coalesce("t2", F.when(F.col("__new"), 1))
+    ends = ends.select(
+        *part, BLK, "__before", "__top", "__new", F.col("__prev.g").alias("__g"),
+        F.last(closed, ignorenulls=True).over(before).alias("__a0"), F.coalesce(F.last(opened, ignorenulls=True).over(behind), F.col("__all") + 1).alias("__z0"),
+    )
+    got = join_stats(marked, ends, [*part, BLK], null_safe=True).withColumn("__at", F.col("__before") + F.col("__rn"))
+    first = F.col("__rn") == 1
+    start = F.when(F.when(first, F.col("__new")).otherwise(turn), F.col("__at"))
+    got = got.select("*", start.alias("__s"), F.max(start).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__a"))
+    rest = Window.partitionBy(*part, BLK).orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, -1)
+    got = got.select("*", F.min("__s").over(rest).alias("__z"))
+    a, z, zero = F.coalesce("__a", "__a0"), F.coalesce("__z", "__z0"), F.lit(0).cast("long")
+    return got.select(
         *df.columns,
         "mismatch",
-        "new_batch",
-        F.when(F.col("mismatch"), F.col("__z") - F.col("__a") + 1).otherwise(zero).alias("run_length"),
-        F.when(F.col("mismatch"), F.col("__rn") - F.col("__a") + 1).otherwise(zero).alias("run_pos"),
+        (~F.col(grammage).eqNullSafe(F.when(first, F.col("__g")).otherwise(F.col("__pg"))) | (first & F.col("__top"))).alias("new_batch"),
+        F.when(F.col("mismatch"), z - a).otherwise(zero).alias("run_length"),
+        F.when(F.col("mismatch"), F.col("__at") - a + 1).otherwise(zero).alias("run_pos"),
     )
 
 
@@ -105,14 +140,16 @@ def grammage_check(persist_n: int = 3) -> Column:
 
 
 def repair_grade_ids(
-    df: DataFrame, wrong: Column, target: str, order: Sequence[str], grade: str = "grade_id", prefix: int = 4
+    df: DataFrame, wrong: Column, target: str, order: Sequence[str], grade: str = "grade_id", prefix: int = 4, known: DataFrame | None = None
 ) -> DataFrame:
     """Replace the last three digits of wrong grade ids by the target grammage.
 
     A known grade with the same prefix comes first, then any known grade with that ending
-    (both in order of first appearance), else the digits are put together.
+    (both in order of first appearance), else the digits are put together. ``known`` gives the same grades and order
+    columns where ``df`` is costly to read.
     """
-    seen = df.filter(F.length(grade) >= 3).groupBy(F.col(grade).alias("__g")).agg(F.min(F.struct(*order)).alias("__first"))
+    source = df if known is None else known
+    seen = materialise(source.filter(F.length(grade) >= 3).groupBy(F.col(grade).alias("__g")).agg(F.min(F.struct(*order)).alias("__first")))
     tail, head = F.substring("__g", -3, 3), F.substring("__g", 1, prefix)
     same = seen.groupBy(head.alias("__h"), tail.alias("__t")).agg(F.min_by("__g", "__first").alias("__same"))
     any_ = seen.groupBy(tail.alias("__t")).agg(F.min_by("__g", "__first").alias("__any"))
@@ -146,7 +183,7 @@ def repair_grammage(
     checked = runs.withColumn("grammage_check", grammage_check(persist_n))
     classes = ["grammage_wrong", "batch_start_ok"] if fix_batch_start else ["grammage_wrong"]
     wrong = F.col("grammage_check").isin(classes)
-    fixed = repair_grade_ids(checked, wrong, "basis_weight_cat", order, grade)
+    fixed = repair_grade_ids(checked, wrong, "basis_weight_cat", order, grade, known=df)
     return fixed.withColumn(grammage, F.when(wrong, F.col("basis_weight_cat").cast("int")).otherwise(F.col(grammage)))
 
 

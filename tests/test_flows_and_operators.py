@@ -153,3 +153,27 @@ def test_cluster_queries_read_all_grades(spark, sf):
         assert found == rows, name
     criteria = queries["mixture_selection_criteria"](spark, sf)
     assert {r["grade"] for r in criteria.select("grade").distinct().collect()} == set(rows) and criteria.agg(F.max("k")).first()[0] == 10
+
+
+def test_mismatch_runs_across_blocks_sort_the_rows_once(spark):
+    import random
+
+    from reelcost.operators import reels as W
+
+    rnd = random.Random(5)
+    rows = [("ab"[i % 2], i, rnd.choice([10.0, 20.0, None]) if rnd.random() < 0.3 else 10.0, 10 if (i // 40) % 2 else 20) for i in range(400)]
+    df = spark.createDataFrame(rows, "m string, t long, cat double, gram int")
+    out = W.mismatch_runs(W.smooth_isolated(df, "cat", "gram", ["m"], ["t"], 6), "cat", "gram", ["m"], ["t"], 6)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {}
+    for m in "ab":
+        own, smooth = [r for r in rows if r[0] == m], []
+        for i, (_, _, c, g) in enumerate(own):
+            p = own[i - 1][2] if i else None
+            smooth.append(p if p is not None and c is not None and c != p and c != g else c)
+        wrong = [c != float(r[3]) for c, r in zip(smooth, own)]
+        for i, r in enumerate(own):
+            a = next((j + 1 for j in range(i, -1, -1) if wrong[j] != wrong[i]), 0)
+            z = next((j for j in range(i, len(own)) if wrong[j] != wrong[i]), len(own))
+            want[r[1]] = (smooth[i], wrong[i], i == 0 or own[i - 1][3] != r[3], z - a if wrong[i] else 0, i - a + 1 if wrong[i] else 0)
+    assert {r.t: (r.cat, r.mismatch, r.new_batch, r.run_length, r.run_pos) for r in out.collect()} == want

@@ -177,3 +177,20 @@ def test_density_in_a_gap_follows_the_nearest_value_on_each_side(spark):
         parts = np.log(1000) - 0.5 * (x - values) ** 2
         want = np.logaddexp.reduce(parts) - math.log(6000 * math.sqrt(2 * math.pi))
         assert have == pytest.approx(want, abs=1e-6)
+
+
+def test_points_of_a_sweep_stay_in_their_row(spark, monkeypatch):
+    from reelcost.operators import scenario as SC
+
+    knots = spark.range(30_000).selectExpr("'g' AS grade", "'x' AS variable", "CAST(id AS DOUBLE) AS x", "id / 30000 AS u")
+    assert len(JT._curves(knots, "grade", "x", "u")["g", "x"][0]) == 30_000
+    rows = spark.range(160).selectExpr("id", "IF(id % 2 = 0, 'a', 'b') AS grade", "CAST(id % 13 + IF(id = 158, 90, 0) AS DOUBLE) AS x", "CAST(id % 13 + id % 7 AS DOUBLE) AS y")
+    model = JT.fit_joint(rows, ["x", "y"], min_rows=50)
+    sweep = lambda: SC.sweep_control(rows, model, "x", ["id"], lambda g: 2 * g("x"), lambda g: g("x") + g("y"), 9.0, steps=6, likelihood_weight=3.0, step=0.5)
+    assert "explode(sequence" not in sweep()._jdf.queryExecution().analyzed().toString()
+    one = sweep().orderBy("id").toPandas()
+    monkeypatch.setattr(SC, "likelihood_along", lambda *a: None)
+    two = sweep().orderBy("id").toPandas()
+    assert (one["feasible"] == two["feasible"]).all() and one["loglik"].notna().all()
+    for c in ("low", "high", "control_best", "objective", "loglik"):
+        assert np.allclose(one[c], two[c], rtol=1e-9, atol=1e-9)

@@ -372,7 +372,7 @@ def _log_density(x: np.ndarray, m: dict) -> np.ndarray:
     one = lambda value, n: np.log(n) - 0.5 * ((x - value) / bw) ** 2
     far = np.where(x < m["lowest"], one(m["lowest"], m["n_low"]), one(m["highest"], m["n_high"]))
     if len(m["gaps"]):
-        lo, n_lo, hi, n_hi = m["gaps"][np.maximum(np.searchsorted(m["gaps"][:, 0], x) - 1, 0)].T
+        lo, n_lo, hi, n_hi = np.moveaxis(m["gaps"][np.maximum(np.searchsorted(m["gaps"][:, 0], x) - 1, 0)], -1, 0)
         below, above = one(lo, n_lo), one(hi, n_hi)
         far = np.where((lo < x) & (x < hi), np.maximum(below, above) + np.log1p(np.exp(-np.abs(below - above))), far)
     with np.errstate(divide="ignore", invalid="ignore"):

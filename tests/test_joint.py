@@ -9,6 +9,7 @@ from reelcost.core import sizing
 from reelcost.functions import student
 from reelcost.functions.expr import normal_cdf, normal_quantile
 from reelcost.operators import joint as JT
+from reelcost.operators import tcopula as TC
 
 
 @pytest.fixture(scope="module")
@@ -194,3 +195,36 @@ def test_points_of_a_sweep_stay_in_their_row(spark, monkeypatch):
     assert (one["feasible"] == two["feasible"]).all() and one["loglik"].notna().all()
     for c in ("low", "high", "control_best", "objective", "loglik"):
         assert np.allclose(one[c], two[c], rtol=1e-9, atol=1e-9)
+
+
+def test_many_knots_go_to_the_rows_of_their_grade(spark, data, model, monkeypatch):
+    """Rows are not sorted with the knots, and a row's points are no rows of their own."""
+    pdf, df = data
+    gaps = df.withColumns({"grade": F.when(F.col("id") % 50 != 7, F.when(F.col("id") % 50 != 9, F.col("grade")).otherwise("none")), "y": F.when(F.col("id") % 50 != 11, F.col("y"))})
+    fit = JT.fit_t_copula(df, ["x", "y", "w"], min_rows=100)[0]
+
+    def results():
+        summary = JT.conditional_summary(gaps, model, ["x", "w"], ["y"], ["id"])
+        draws = JT.conditional_draws(df, model, ["x", "w"], ["y"], ["id"], 3, 1)
+        tails = JT.t_conditional_quantiles(gaps, fit, "x", ["y", "w"]).select("id", "q05", "q50", "q95")
+        spread = TC.t_conditional_summary(gaps, fit, "x", ["y"], ["id"])
+        got = [summary.orderBy("target", "id"), draws.orderBy("id", "draw"), tails.orderBy("id"), spread.orderBy("id")]
+        return [g.toPandas() for g in got]
+
+    small = results()
+    assert small[0]["mean"].isna().any()
+    monkeypatch.setattr(JT, "CURVE_KNOTS", 5)
+    monkeypatch.setattr(JT, "neighbours", lambda *a: pytest.fail("rows are sorted with the knots"))
+    for a, b in zip(small, results()):
+        pd.testing.assert_frame_equal(a, b, rtol=1e-9)
+    refit = JT.fit_t_copula(df, ["x", "y", "w"], min_rows=100)[0]
+    a, b = (np.array([r[0] for r in m.corr.orderBy("grade").select("corr").collect()]) for m in (fit, refit))
+    assert np.allclose(a, b)
+
+
+def test_more_knots_than_a_task_may_hold(spark, data, model, monkeypatch):
+    pdf, df = data
+    want = JT.conditional_summary(df, model, ["x"], ["y"], ["id"]).orderBy("id").toPandas()
+    monkeypatch.setattr(JT, "CURVE_KNOTS", 5)
+    monkeypatch.setattr(JT, "TASK_KNOTS", 5)
+    pd.testing.assert_frame_equal(want, JT.conditional_summary(df, model, ["x"], ["y"], ["id"]).orderBy("id").toPandas(), rtol=1e-6)

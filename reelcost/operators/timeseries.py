@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..core.ordered import bounded_frames, row_index, running_sums
 from ..core.orderstats import Windows
-from ..core.sizing import block_count, join_stats
+from ..core.sizing import block_count, join_stats, written
 from ..functions.expr import truthy
 
 
@@ -35,19 +35,27 @@ def segments(
 ) -> DataFrame:
     """Segment number per machine: a new one starts on a grade change or after a longer gap.
 
-    ``peek`` adds the following row's value of a column in the same pass, and ``__start`` is
-    true on the first row of a segment.
+    ``peek`` adds the following row's value of a column in the same pass. ``__start`` is
+    true on the first row of a segment, ``__end`` on its last one.
     """
     peek = peek or {}
 
     def exprs(w):
-        gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
-        first = F.lag(F.lit(1)).over(w).isNull()
-        new = first | ~F.col(grade).eqNullSafe(F.lag(grade).over(w)) | truthy(gap > max_gap_hours * 3600 * 1e6)
+        def apart(there, gap):
+            none = there(F.lit(1)).over(w).isNull()
+            return none | ~F.col(grade).eqNullSafe(there(grade).over(w)) | truthy(gap > max_gap_hours * 3600 * 1e6)
+
+        now = F.unix_micros(ts)
+        new = apart(F.lag, now - F.unix_micros(F.lag(ts).over(w)))
+        end = apart(F.lead, F.unix_micros(F.lead(ts).over(w)) - now)
         nxt = {a: F.lead(c).over(w) for a, c in peek.items()}
-        return {"__start": new, **nxt}
+        return {"__start": new, "__end": end, **nxt}
 
+    blocks = blocks or block_count(df)
     marked = bounded_frames(df, part, order, 1, 1, exprs, blocks)
+    if blocks > 1:
+        # Block boundaries, carries and running sums all read it.
+        marked = written(marked)
     return running_sums(marked, part, order, {"segment": F.col("__start").cast("long")}, blocks)
 
 
@@ -59,9 +67,13 @@ def segment_ewm(
 
     A segment is cut into slices of 60 half-lives, in which running sums relative to the slice start
     stay far from overflow. A slice gets the sums of all earlier ones from the last slice that has
-    values, so a value counts until newer ones outweigh it, however long ago it was.
+    values, so a value counts until newer ones outweigh it, however long ago it was. Segments
+    within one slice, known by their ends, get nothing from others and stay out of that step.
     """
+    blocks = blocks or block_count(df)
     seg = segments(df, part, order, grade, ts, max_gap_hours, {"__next": col}, blocks)
+    if blocks > 1:
+        seg = written(seg)
     half = half_life_minutes * 60e6
     slice_len = 60 * half
     t = F.unix_micros(ts)
@@ -73,19 +85,22 @@ def segment_ewm(
     sums = sliced.select("*", F.sum(F.col(col) * weight).over(w).alias("__sx"), F.sum(weight).over(w).alias("__sw"))
 
     # One row a slice. Over 17 slices a weight falls below the smallest double, so 18 rows back hold all that counts.
-    totals = sliced.groupBy(*keys).agg(F.sum(F.col(col) * weight).alias("x"), F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
+    totals = sliced.groupBy(*keys).agg(F.sum(F.col(col) * weight).alias("x"), F.sum(weight).alias("w"), F.bool_or("__start").alias("s"), F.bool_or("__end").alias("e"))
+    totals = totals.filter(~(F.col("s") & F.col("e")))
     segment = Window.partitionBy(*part, "segment")
     recent = F.collect_list(F.when(F.col("w").isNotNull(), F.struct("__at", "x", "w"))).over(segment.orderBy("__at").rowsBetween(-18, 0))
-    listed = totals.select(*keys, "w", F.sum("n").over(segment).alias("__size"), recent.alias("recent"))
+    listed = totals.select(*keys, "w", recent.alias("recent"))
     decayed = lambda f: F.aggregate("recent", F.lit(0.0), lambda s, e: s + e[f] * F.pow(F.lit(2.0), -60.0 * (F.col("__at") - e["__at"])))
     state = F.when(F.col("w").isNotNull(), F.struct(F.col("__at").alias("at"), decayed("x").alias("x"), decayed("w").alias("w")))
     before = segment.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    carry = listed.withColumn("__state", state).select(*keys, "__size", F.last("__state", ignorenulls=True).over(before).alias("__c"))
+    carry = listed.withColumn("__state", state).select(*keys, F.last("__state", ignorenulls=True).over(before).alias("__c"))
+    if blocks > 1:
+        carry = written(carry)
     got = join_stats(sums, carry, keys, null_safe=True)
     fade = F.pow(F.lit(2.0), -60.0 * (F.col("__at") - F.col("__c.at")))
     total = lambda own, old: F.col(own) + F.coalesce(F.col(old) * fade, F.lit(0.0))
     mean = F.when(F.col("__sw").isNull(), F.try_divide("__c.x", "__c.w")).otherwise(F.try_divide(total("__sx", "__c.x"), total("__sw", "__c.w")))
-    soft = F.when(F.col("__start") & (F.col("__size") >= 2), (F.col(col) + F.col("__next")) / 2).otherwise(mean)
+    soft = F.when(F.col("__start") & ~F.col("__end"), (F.col(col) + F.col("__next")) / 2).otherwise(mean)
     return got.select(*df.columns, "segment", soft.alias(out))
 
 

@@ -358,7 +358,8 @@ def graded_events(spark, sf):
 
 @query("segments_by_grade_and_gap", f"WITH {_SEG} SELECT event_id, CAST(segment AS BIGINT) AS segment FROM sg")
 def _(spark, sf):
-    return TS.segments(graded_events(spark, sf), ["user_id"], ["ts", "event_id"], "g").select("event_id", "segment")
+    df = graded_events(spark, sf).select("event_id", "user_id", "ts", "g")
+    return TS.segments(df, ["user_id"], ["ts", "event_id"], "g").select("event_id", "segment")
 
 
 _EWM = f"""WITH {_SEG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, segment ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id, segment) AS c, lead(value) OVER (PARTITION BY user_id, segment ORDER BY ts, event_id) AS nx FROM sg),
@@ -369,7 +370,8 @@ _EWM = f"""WITH {_SEG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id,
 
 @query("segment_time_decayed_mean", _EWM)
 def _(spark, sf):
-    out = TS.segment_ewm(graded_events(spark, sf), ["user_id"], ["ts", "event_id"], "g", "value")
+    df = graded_events(spark, sf).select("event_id", "user_id", "ts", "g", "value")
+    out = TS.segment_ewm(df, ["user_id"], ["ts", "event_id"], "g", "value")
     return rounded(out.select("event_id", "ewm"), "ewm")
 
 

@@ -177,3 +177,28 @@ def test_mismatch_runs_across_blocks_sort_the_rows_once(spark):
             z = next((j for j in range(i, len(own)) if wrong[j] != wrong[i]), len(own))
             want[r[1]] = (smooth[i], wrong[i], i == 0 or own[i - 1][3] != r[3], z - a if wrong[i] else 0, i - a + 1 if wrong[i] else 0)
     assert {r.t: (r.cat, r.mismatch, r.new_batch, r.run_length, r.run_pos) for r in out.collect()} == want
+
+
+def test_segment_mean_in_blocks_reads_its_input_a_few_times(spark):
+    start = pd.Timestamp("2024-01-01")
+    n = 600
+    pdf = pd.DataFrame({"m": [i % 3 for i in range(n)], "id": range(n), "ts": [start + pd.Timedelta(hours=i + 15 * (i // 90)) for i in range(n)], "g": [i // 200 for i in range(n)], "v": [float(i * 7 % 11) for i in range(n)]})
+    plain = spark.createDataFrame(pdf).repartition(2)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = plain.mapInArrow(counted, plain.schema)
+    args = (["m"], ["ts", "id"], "g", "v")
+    # Slices of 60 minutes and of 7,200, of which segments fill many or are a part.
+    for half in (1.0, 120.0):
+        read.value = 0
+        got = {r.id: (r.segment, r.ewm) for r in TS.segment_ewm(df, *args, half_life_minutes=half, blocks=3).collect()}
+        assert read.value <= 4 * n
+        want = {r.id: (r.segment, r.ewm) for r in TS.segment_ewm(plain, *args, half_life_minutes=half, blocks=1).collect()}
+        assert len(want) == n and got.keys() == want.keys()
+        for i, (segment, ewm) in want.items():
+            assert got[i][0] == segment and got[i][1] == pytest.approx(ewm, rel=1e-12)

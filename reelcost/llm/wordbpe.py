@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 # Words and stretches that a Python worker remembers, from task to task.
 CACHED_WORDS = 400_000
-CACHED_STRETCHES = 200_000
+CACHED_STRETCHES = 600_000
 # Longer stretches are coded each time they come, so the cache stays small.
 CACHED_BYTES = 256
 _NONE = 1 << 62
@@ -39,21 +39,23 @@ def lowest_pairs(leaves: list[int]) -> list[int]:
     return tree
 
 
+def set_node(tree: list[int], i: int, leaf: int) -> None:
+    """Replace the leaf at node ``i``; nodes above change until one keeps its lowest."""
+    tree[i] = leaf
+    while i > 1:
+        b = tree[i ^ 1]
+        if b < leaf:
+            leaf = b
+        i >>= 1
+        if tree[i] == leaf:
+            break
+        tree[i] = leaf
+
+
 def put(tree: list[int], *changes: tuple[int, int]) -> None:
-    """Replace pairs (place, leaf); nodes above change until one keeps its lowest."""
-    n = len(tree) >> 1
+    """Replace pairs (place, leaf)."""
     for place, leaf in changes:
-        i = place + n
-        tree[i] = leaf
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            if b < a:
-                a = b
-            if tree[i] == a:
-                break
-            tree[i] = a
-            i >>= 1
+        set_node(tree, place + (len(tree) >> 1), leaf)
 
 
 def merged(symbols: list[int], ranks: dict[tuple[int, int], int], made: list[int]) -> list[int]:
@@ -63,23 +65,26 @@ def merged(symbols: list[int], ranks: dict[tuple[int, int], int], made: list[int
         return symbols
     rank = ranks.get
     tree = lowest_pairs([_NONE if (r := rank(pair)) is None else r << 32 | i for i, pair in enumerate(zip(symbols, symbols[1:]))])
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    # Leaf j of the tree is node j + n - 1.
+    top, after, before = n - 1, list(range(1, n + 1)), list(range(-1, n - 1))
     while (root := tree[1]) != _NONE:
         i = root & 0xFFFFFFFF
         j, new = after[i], made[root >> 32]
         k, h = after[j], before[i]
         symbols[i], symbols[j], after[i] = new, -1, k
-        own, r = _NONE, None
+        own = _NONE
         if k < n:
             before[k] = i
             if (r := rank((new, symbols[k]))) is not None:
                 own = r << 32 | i
-            if tree[j + n - 1] != _NONE:
-                put(tree, (j, _NONE))
-        if h >= 0 and ((r := rank((symbols[h], new))) is not None or tree[h + n - 1] != _NONE):
-            put(tree, (i, own), (h, _NONE if r is None else r << 32 | h))
-        else:
-            put(tree, (i, own))
+            if tree[j + top] != _NONE:
+                set_node(tree, j + top, _NONE)
+        set_node(tree, i + top, own)
+        if h >= 0:
+            if (r := rank((symbols[h], new))) is not None:
+                set_node(tree, h + top, r << 32 | h)
+            elif tree[h + top] != _NONE:
+                set_node(tree, h + top, _NONE)
     return [s for s in symbols if s >= 0]
 
 
@@ -127,50 +132,62 @@ class Coder:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.piece.update({i: t.encode() for t, i in special.items()})
         self.special = special
+        # A character of every special token's, so that most texts are searched for one only.
+        self.mark = min(set.intersection(*map(set, special)), default="") if special else ""
         self.cuts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         library = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}))
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.ascii = _ascii_split(spec)
         self.words, self.stretches = Recent(cached_words // 2), Recent(cached_stretches // 2)
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def code(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        """Number of ids, ids as little-endian integers, tokens joined by blanks."""
+        return len(ids), struct.pack(f"<{len(ids)}I", *ids), b" ".join([self.piece[i] for i in ids])
+
+    def word(self, word: str) -> tuple[int, bytes, bytes]:
         found = self.words.get(word)
         if found is None:
-            found = tuple(merged([self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.end]], self.ranks, self.made))
+            found = self.code(merged([*[self.vocab[c] for c in word[:-1]], self.vocab[word[-1] + self.end]], self.ranks, self.made))
             if len(word) <= CACHED_BYTES:
                 self.words.put(word, found)
         return found
 
-    def ids(self, text: str) -> list[int]:
-        """Ids of a text; strings of special tokens are these tokens."""
-        out: list[int] = []
-        for part in self.cuts.split(text) if any([t in text for t in self.special]) else [text]:
+    def codes(self, text: str) -> list[tuple[int, bytes, bytes]]:
+        """Codes of a text's words; strings of special tokens are these tokens."""
+        if self.ascii and self.mark and self.mark not in text and text.isascii() and text.isprintable():
+            return [self.word(w) for w in self.ascii(text.lower())]
+        out = []
+        for part in self.cuts.split(text) if self.special and self.mark in text and any([t in text for t in self.special]) else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(self.code([self.special[part]]))
             elif self.ascii and part.isascii() and part.isprintable():
-                for word in self.ascii(part.lower()):
-                    out += self.word(word)
+                out += [self.word(w) for w in self.ascii(part.lower())]
             elif part:
-                for word, _ in self.split(self.normal(part)):
-                    out += self.word(word)
+                out += [self.word(w) for w, _ in self.split(self.normal(part))]
         return out
 
     def stretch(self, raw: bytes) -> tuple[int, bytes, bytes]:
-        """Number of ids, ids as little-endian integers, tokens joined by blanks."""
+        """As ``code``, for a stretch without white space."""
         found = self.stretches.get(raw)
         if found is None:
-            ids = self.ids(raw.decode())
-            found = len(ids), struct.pack(f"<{len(ids)}I", *ids), b" ".join([self.piece[i] for i in ids])
+            codes = self.codes(raw.decode())
+            found = codes[0] if len(codes) == 1 else self.joined(codes)
             if len(raw) <= CACHED_BYTES:
                 self.stretches.put(raw, found)
         return found
 
-    def text(self, raw: bytes) -> tuple[int, bytes, bytes]:
-        """As ``stretch``, for a whole text."""
-        codes = [self.stretches.new.get(s) or self.stretch(s) for s in raw.split()]
+    def joined(self, codes: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
         counts, ids, tokens = zip(*codes) if codes else ((), (), ())
         return sum(counts), b"".join(ids), b" ".join(filter(None, tokens))
 
+    def text(self, raw: bytes) -> tuple[int, bytes, bytes]:
+        """As ``code``, for a whole text."""
+        known = self.stretches.new
+        if len(parts := raw.split()) + len(known) >= self.stretches.size:
+            return self.joined([self.stretches.new.get(s) or self.stretch(s) for s in parts])
+        get, stretch = known.get, self.stretch
+        return self.joined([get(s) or stretch(s) for s in parts])
+
 
 @functools.lru_cache(maxsize=1)
 def _coder(path: str, cached_words: int, cached_stretches: int) -> Coder:

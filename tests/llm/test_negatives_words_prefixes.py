@@ -191,3 +191,11 @@ def test_one_long_conversation_is_numbered_in_blocks(spark, monkeypatch):
     got = prefixtrie.trie(prefixtrie.rebuilt(prefixtrie.ordered_turns(df)))
     assert got.agg(F.count("*"), F.max("depth"), F.sum("n_leaves")).first() == (401, 400, 401)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_trie(rows)
+
+
+def test_stretches_seen_before_are_not_coded_again(monkeypatch):
+    coder, coded = wordbpe.Coder(WORDS), []
+    monkeypatch.setattr(coder, "codes", lambda text: coded.append(text) or [])
+    raw = " ".join(map(str, range(190_000))).encode()
+    assert coder.text(raw) == coder.text(raw)
+    assert len(coded) == 190_000

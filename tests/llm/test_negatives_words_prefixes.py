@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -199,3 +200,16 @@ def test_stretches_seen_before_are_not_coded_again(monkeypatch):
     raw = " ".join(map(str, range(190_000))).encode()
     assert coder.text(raw) == coder.text(raw)
     assert len(coded) == 190_000
+
+
+def test_stretches_of_several_texts_are_told_apart_before_they_are_coded(monkeypatch):
+    coder, coded = wordbpe.Coder(WORDS, 2, 2), []
+    plain, codes = wordbpe.Coder(WORDS), coder.codes
+    monkeypatch.setattr(coder, "codes", lambda text: coded.append(text) or codes(text))
+    texts = ["One two three four five six é", "", "six five\tÉTÉ's four  ", "<|endoftext|> three two one x"] * 50
+    raw = " ".join(texts).encode()
+    assert coder.text(raw) == plain.text(raw)
+    assert sorted(coded) == sorted(set(raw.decode().split()))
+    one = [plain.text(t.encode()) for t in texts]
+    counts, ids, tokens = plain.texts(pa.array(["gone", *texts]).slice(1))
+    assert list(zip(counts.tolist(), ids.to_pylist(), tokens.to_pylist())) == one

@@ -30,42 +30,61 @@ RARE_DF = 64
 FREQUENT_GROUPS = 8
 
 
-def shingle_sets(texts: pa.Array, k: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; fewer than k words count as one shingle."""
+def shingle_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts, and each text's first one; fewer than k words count as one shingle.
+
+    The second array has one more entry than texts, so text ``i`` owns shingles ``first[i]:first[i + 1]``.
+    """
     words, first = hashed_words(texts)
-    runs = hashed_runs(words, k)
-    out = []
-    for a, b in zip(first[:-1], first[1:]):
-        if b - a >= k:
-            out.append(np.unique(runs[a : b - k + 1]))
-        elif b > a:
-            out.append(hashed_runs(words[a:b], int(b - a)))
-        else:
-            out.append(np.empty(0, np.uint64))
-    return out
+    size = np.diff(first)
+    row, runs = np.repeat(np.arange(len(size)), size), hashed_runs(words, k)
+    whole = np.flatnonzero(np.arange(len(runs)) + k <= first[1:][row[: len(runs)]])
+    small = np.flatnonzero((size > 0) & (size < k))
+    flat = np.concatenate([runs[whole], *[hashed_runs(words[first[i] : first[i + 1]], int(size[i])) for i in small]])
+    row = np.concatenate([row[whole], small])
+    if len(small):
+        order = np.argsort(row, kind="stable")
+        flat, row = flat[order], row[order]
+    ends = np.searchsorted(row, np.arange(len(size) + 1)).tolist()
+    for a, b in zip(ends, ends[1:]):
+        flat[a:b].sort()
+    once = np.ones(len(flat), dtype=bool)
+    once[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
+    return flat[once], np.searchsorted(row[once], np.arange(len(size) + 1))
+
+
+def _lists(flat: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
+def _counted(ok: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Number of true entries of each set."""
+    return np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(ok)])[first])
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    values = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def _picked(flat: np.ndarray, first: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The true entries of all sets, as ``shingle_sets`` gives them."""
+    return flat[ok], np.concatenate([np.zeros(1, np.int64), np.cumsum(_counted(ok, first))])
 
 
-def _probe(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The smallest hashes of a set, and how many of them any partner has among its own smallest.
+def _probe(first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries are among the smallest hashes of their set, and how many of these any partner has among its own smallest.
 
     A partner misses at most n - ceil(t n) shingles of the set, so of as many and m more it has m.
     """
-    more = 1 + len(s) // 10
-    return s[: len(s) - _least(len(s), percent) + more], more
+    size = np.diff(first)
+    more = 1 + size // 10
+    place = np.arange(first[-1]) - np.repeat(first[:-1], size)
+    return place < np.repeat(size - _least(size, percent) + more, size), more
 
 
-def _alive(s: np.ndarray, probes: np.ndarray | None, percent: int) -> bool:
-    """Whether a set can have a partner, judged by the repeated ones of its probe shingles."""
-    if probes is None or not len(s):
-        return len(s) > 0
-    own, need = _probe(s, percent)
-    return int(in_bitset(own, probes).sum()) >= need
+def _alive(flat: np.ndarray, first: np.ndarray, probes: np.ndarray | None, percent: int) -> np.ndarray:
+    """Whether each set can have a partner, judged by the repeated ones of its probe shingles."""
+    if probes is None:
+        return np.diff(first) > 0
+    own, need = _probe(first, percent)
+    own[own] = in_bitset(flat[own], probes)
+    return (_counted(own, first) >= need) & (np.diff(first) > 0)
 
 
 def _repeated(docs: DataFrame, k: int, percent: int, probes: np.ndarray | None = None) -> DataFrame:
@@ -77,20 +96,18 @@ def _repeated(docs: DataFrame, k: int, percent: int, probes: np.ndarray | None =
     def count(batches):
         for b in batches:
             for part in slices(b, "text"):
-                sets = shingle_sets(part.column("text"), k)
-                picked = [_probe(s, percent)[0] for s in sets] if probes is None else [s for s in sets if _alive(s, probes, percent)]
-                tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *picked]), return_counts=True)
+                flat, first = shingle_sets(part.column("text"), k)
+                ok = _probe(first, percent)[0] if probes is None else np.repeat(_alive(flat, first, probes, percent), np.diff(first))
+                tokens, n = np.unique(flat[ok], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     return docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").select("token")
 
 
-def _some(parts: list[np.ndarray], sizes: list[int], shared: np.ndarray, percent: int) -> list[np.ndarray]:
+def _some(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, shared: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each set the shingles that may occur elsewhere; none if they are too few for any partner."""
-    flat = np.concatenate(parts)
     ok = in_bitset(flat, shared)
-    split = np.split(np.arange(len(flat)), np.cumsum([len(p) for p in parts])[:-1])
-    return [flat[at][ok[at]] if 100 * ok[at].sum() >= percent * n else flat[:0] for at, n in zip(split, sizes)]
+    return _picked(flat, first, ok & np.repeat(100 * _counted(ok, first) >= percent * sizes, np.diff(first)))
 
 
 def _hashed(docs: DataFrame, id_type: str, probes: np.ndarray, shared: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -99,12 +116,11 @@ def _hashed(docs: DataFrame, id_type: str, probes: np.ndarray, shared: np.ndarra
     def sets(batches):
         for b in batches:
             for part in slices(b, "text"):
-                every = shingle_sets(part.column("text"), k)
-                names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in every]
-                some = _some([s if _alive(s, probes, percent) else s[:0] for s in every], [len(s) for s in every], shared, percent)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in every], pa.int64()), pa.array(names, pa.binary()), _lists(some)], ["doc_id", "n", "c", "tokens"]
-                )
+                flat, first = shingle_sets(part.column("text"), k)
+                size, ends = np.diff(first), first.tolist()
+                names = [hashlib.blake2b(flat[x:y], digest_size=16).digest() for x, y in zip(ends, ends[1:])]
+                some = _some(*_picked(flat, first, np.repeat(_alive(flat, first, probes, percent), size)), size, shared, percent)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(names, pa.binary()), _lists(*some)], ["doc_id", "n", "c", "tokens"])
 
     return docs.mapInArrow(sets, f"doc_id {id_type}, n long, c binary, tokens array<long>")
 
@@ -113,9 +129,11 @@ def _narrowed(sets: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
     def narrow(batches):
         for b in batches:
             if b.num_rows:
-                sizes = b.column("n").to_pylist()
-                some = _some([np.asarray(t.values).view(np.uint64) for t in b.column("tokens")], sizes, shared, percent)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("c"), b.column("n"), _lists(some)], ["id", "c", "n", "tokens"])
+                tokens = b.column("tokens")
+                first = np.asarray(tokens.offsets).astype(np.int64)
+                flat = np.asarray(tokens.values)[first[0] : first[-1]].view(np.uint64)
+                some = _some(flat, first - first[0], np.asarray(b.column("n")), shared, percent)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("c"), b.column("n"), _lists(*some)], ["id", "c", "n", "tokens"])
 
     return sets.mapInArrow(narrow, "id long, c binary, n long, tokens array<long>")
 

@@ -3,15 +3,17 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from reelcost.core.session import ship_package
-from reelcost.llm import credentials, ordinal, packing, sitebayes
+from reelcost.llm import common, credentials, ordinal, packing, setjoin, sitebayes
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -250,3 +252,25 @@ def test_stages_in_a_row(spark, tmp_path):
     assert set(got) == set(want)
     for i, parts in got.items():
         assert [x for _, ids in sorted(parts) for x in ids] == want[i], i
+
+
+def test_words_and_shingles_are_hashed_in_little_memory():
+    texts = ["Some words of \x0bText é " * 4_000, None, "", "one  two\nONE two one two x", "three of " * 3, "x" * 70_000 + " end", "y " * 200_000] * 5
+    column = pa.array(["gone", *texts]).slice(1)
+    tracemalloc.start()
+    words, first = common.hashed_words(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * column.nbytes
+    cut = [(t or "").lower().encode().split() for t in texts]
+    assert np.diff(first).tolist() == [len(c) for c in cut]
+    assert len(set(zip([w for c in cut for w in c], words.tolist()))) == len({w for c in cut for w in c}) == len(set(words.tolist()))
+    for k in (4, 50):
+        runs = common.hashed_runs(words, k)
+        total = 0
+        for w in words[1000 : 1000 + k].tolist():
+            total = (total * int(common._BASE) + w) % 2**64
+        assert common.mix(np.array([(total + k) % 2**64], np.uint64))[0] == runs[1000]
+    flat, first = setjoin.shingle_sets(column)
+    assert np.diff(first).tolist() == [len({tuple(c[i : i + 5]) for i in range(max(1, len(c) - 4))}) if c else 0 for c in cut]
+    assert all((x[1:] > x[:-1]).all() for x in (flat[a:b] for a, b in zip(first, first[1:])))

@@ -85,3 +85,15 @@ def test_draws_of_shap_values_stay_in_their_row(spark):
         assert "explode(" not in out._jdf.queryExecution().toString()
     means = two.groupBy("id").agg(F.sum("shap").alias("s"), F.first("base_value").alias("base"), F.first("prediction").alias("p")).collect()
     assert len(means) == 50 and all(abs(r.p - r.base - r.s) < 1e-9 and r.p == (r.id % 7) * (r.id % 5) for r in means)
+
+
+def test_each_draw_of_a_sampled_shap_value_has_its_own_order(spark):
+    rows = spark.range(400).selectExpr("id", "'g' AS grade", "IF(id < 8, 2.0D, 0.0D) AS a", "IF(id < 8, 3.0D, 0.0D) AS b", "0.0D AS c")
+    for features in (["a", "b"], ["b", "a", "c"]):
+        out = AT.sampled_shap(rows, ["id"], features, lambda g: g("a") * g("b"), background=400, permutations=400)
+        got = out.filter("id < 8").groupBy("id").pivot("variable").sum("shap").collect()
+        # Along one order a or b would have all of it.
+        assert len(got) == 8 and all(2.4 < r.a < 3.6 and 2.4 < r.b < 3.6 and 5.3 < r.a + r.b <= 6.0 for r in got)
+        assert len({round(r.a - r.b, 9) for r in got}) > 1
+    places = spark.range(5).select(*[AT._places(n, F.xxhash64("id")).alias(f"p{n}") for n in (1, 3, 7)]).collect()
+    assert all(sorted(r[i]) == list(range(n)) for r in places for i, n in enumerate((1, 3, 7)))

@@ -197,6 +197,31 @@ def test_points_of_a_sweep_stay_in_their_row(spark, monkeypatch):
         assert np.allclose(one[c], two[c], rtol=1e-9, atol=1e-9)
 
 
+def test_points_of_a_sweep_are_compared_in_arrays(spark, monkeypatch):
+    """No lambda function runs over the points, and missing values and NaN come where ranks have them."""
+    from reelcost.operators import scenario as SC
+
+    rows = spark.range(120).selectExpr("id", "IF(id % 9 = 8, 'none', 'a') AS grade", "CAST(id % 13 AS DOUBLE) AS x", "CAST(id % 13 + id % 7 AS DOUBLE) AS y")
+    model = JT.fit_joint(rows.filter("grade = 'a'"), ["x", "y"], min_rows=50)
+    odd = lambda g: F.when(F.col("id") % 5 == 1, F.lit(None)).when((F.col("id") % 5 == 2) & (g("x") > 6), F.lit(float("nan"))).otherwise(g("x"))
+    strength = lambda g: F.when((F.col("id") % 7 == 3) & (g("x") > 5), F.lit(None)).when((F.col("id") % 7 == 4) & (g("x") > 5), F.lit(float("nan"))).otherwise(g("x"))
+    for steps, options in ((6, {"closeness": 0.5}), (6, {"maximise_strength": True}), (300, {"likelihood_weight": 2.0})):
+        swept = SC.sweep_control(rows, model, "x", ["id"], lambda g: -2 * odd(g), strength, 4.0, steps=steps, step=0.5, **options)
+        plan = swept._jdf.queryExecution().optimizedPlan().toString()
+        assert "transform(" not in plan and "explode(" not in plan
+        with monkeypatch.context() as m:
+            m.setattr(SC, "likelihood_along", lambda *a: None)
+            # Every point a row of its own, its likelihood of no weight if there is none.
+            other = SC.sweep_control(rows, model, "x", ["id"], lambda g: -2 * odd(g), strength, 4.0, steps=steps, step=0.5, **{"likelihood_weight": 1e-300} | options)
+            want = {r.id: r for r in other.collect()}
+        got = {r.id: r for r in swept.collect()}
+        assert len(got) == len(want) == 120 and any(r.control_best is None for r in got.values()) and any(r.feasible for r in got.values())
+        for i, r in got.items():
+            assert r.feasible == want[i].feasible
+            for c in ("low", "high", "control_best", "strength", "cost", "objective"):
+                assert (r[c] is None) == (want[i][c] is None) and (r[c] is None or r[c] == pytest.approx(want[i][c], rel=1e-9, abs=1e-9, nan_ok=True)), (options, i, c)
+
+
 def test_many_knots_go_to_the_rows_of_their_grade(spark, data, model, monkeypatch):
     """Rows are not sorted with the knots, and a row's points are no rows of their own."""
     pdf, df = data

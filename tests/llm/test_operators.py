@@ -287,6 +287,41 @@ def alike_pair(a, b, min_words=50, min_identity=0.8):
     return False
 
 
+def test_passages_between_first_and_last_holders_of_their_parts(spark):
+    """The halves of a passage stand in earlier and later documents too, which share too little to be reported."""
+    rng = np.random.default_rng(11)
+    junk = lambda n: [f"j{x}" for x in rng.integers(0, 10**9, n)]
+    whole = [f"w{i}" for i in range(60)]
+    changed = [w if i % 9 else f"c{i}" for i, w in enumerate(whole)]
+    texts = [whole[:30], whole[30:], changed[:30], changed[30:], whole, changed, whole[:30], whole[30:], changed[:30], changed[30:]]
+    df = spark.createDataFrame([(i, " ".join(junk(40) + t + junk(40))) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = [(x.doc_id, x.ref_doc_id, x.identity) for x in chaining.repeated_passages(df).collect()]
+    assert [(x[0], x[1]) for x in got] == [(5, 4)] and 0.85 < got[0][2] < 0.95
+    # A passage in many documents is reported for every pair of them.
+    df = spark.createDataFrame([(i, " ".join(junk(10) + whole + junk(10))) for i in range(40)], "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, x.ref_doc_id) for x in chaining.repeated_passages(df).collect()}
+    assert got == {(i, j) for i in range(40) for j in range(i)}
+
+
+def test_matches_of_pieces_are_all_pairs(monkeypatch):
+    monkeypatch.setattr(chaining, "BLOCK", 5)
+    monkeypatch.setattr(chaining, "PIECE", 20)
+    rng = np.random.default_rng(4)
+    for n, seeds, docs_ in ((0, 1, 1), (1, 1, 1), (60, 1, 3), (80, 4, 30), (200, 60, 9), (50, 50, 1)):
+        seed, doc, pos = rng.integers(0, seeds, n).astype(np.uint64) << np.uint64(1), rng.integers(-3, docs_, n), np.arange(n, dtype=np.int32)
+        order = np.lexsort((pos, doc, seed))
+        seed, doc, pos = seed[order], doc[order], pos[order]
+        got, total = [], 0
+        for matches, apart, raw in chaining._pieces(seed, doc, pos):
+            step, d, p = chaining._numbers(raw, chaining._OCCURRENCE)
+            found = list(chaining._matched(np.cumsum(step, dtype=np.uint64), d, p, apart))
+            assert sum(len(f[0]) for f in found) <= matches and all(len(f[0]) <= 20 + 200 for f in found)
+            got += [m for f in found for m in zip(*[c.tolist() for c in f[:4]])]
+            total += matches
+        want = [(int(doc[i]), int(doc[j]), int(pos[i]), int(pos[j])) for i in range(n) for j in range(n) if seed[i] == seed[j] and doc[i] > doc[j]]
+        assert sorted(got) == sorted(want) and total >= len(want)
+
+
 def test_recall_of_planted_variants(spark):
     r, groups, docs_ = random.Random(17), [], []
     for size in (52, 70, 100):

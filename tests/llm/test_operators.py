@@ -314,7 +314,7 @@ def test_matches_of_pieces_are_all_pairs(monkeypatch):
         got, total = [], 0
         for matches, apart, raw in chaining._pieces(seed, doc, pos):
             step, d, p = chaining._numbers(raw, chaining._OCCURRENCE)
-            found = list(chaining._matched(np.cumsum(step, dtype=np.uint64), d, p, apart))
+            found = [f for turn in range(3) for f in chaining._matched(np.cumsum(step, dtype=np.uint64), d, p, apart, turn, 3)]
             assert sum(len(f[0]) for f in found) <= matches and all(len(f[0]) <= 20 + 200 for f in found)
             got += [m for f in found for m in zip(*[c.tolist() for c in f[:4]])]
             total += matches
